@@ -50,7 +50,8 @@ def carry_last(
     # value of its own still receives the carried one.
     present = rows.select(*keys, "_b").distinct().join(tails, [*keys, "_b"], "left")
     earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    carried = present.select(*keys, "_b", F.last("_tail", True).over(earlier).alias("_carried"))
+    carried = present.select(*keys, "_b", F.last("_tail", True).over(earlier).alias("_carried")).filter(
+        F.col("_carried").isNotNull())
     last_row = 0 if include_current else -1
     inside = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, last_row)
     return (

@@ -16,15 +16,21 @@ from vigilog.operators.ordered import nearest_before
 KEY = ["session_id", "seq"]
 
 
+def _fixed_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A constant table as a literal VALUES list, so its size is known to the planner."""
+    values = ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def rule_scores(spark: SparkSession, rulesets: list[str] | None = None) -> DataFrame:
     """Fixed score table (ruleset, rule_key, flag, score); about fifty rows."""
     rows = [r for r in V.RULE_SCORES if rulesets is None or r[0] in rulesets]
-    return spark.createDataFrame(rows, "ruleset string, rule_key string, flag string, score int")
+    return _fixed_table(spark, rows, "ruleset, rule_key, flag, score")
 
 
 def combo_rules(spark: SparkSession, rulesets: list[str] | None = None) -> DataFrame:
     rows = [r for r in V.COMBO_RULES if rulesets is None or r[0] in rulesets]
-    return spark.createDataFrame(rows, "ruleset string, variant string, combo string, severity string")
+    return _fixed_table(spark, rows, "ruleset, variant, combo, severity")
 
 
 def check_rulesets(rulesets: list[str]) -> list[str]:

@@ -283,11 +283,26 @@ def _needed(text: str, known: dict[str, str], order: list[str]) -> None:
                 order.append(name)
 
 
+def _big_counts(text: str) -> str:
+    """count_if is wider than a bigint in this dialect; cast every use."""
+    out, at = "", 0
+    for found in re.finditer(r"count_if\(", text):
+        if found.start() < at:
+            continue
+        depth, end = 1, found.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        out += text[at:found.start()] + f"CAST({text[found.start():end]} AS BIGINT)"
+        at = end
+    return out + text[at:]
+
+
 def sql(body: str) -> str:
     """A runnable query: the named blocks `body` reads, then `body`."""
     order: list[str] = []
     _needed(body, CTES, order)
     if not order:
-        return body.strip()
+        return _big_counts(body.strip())
     blocks = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
-    return f"WITH {blocks}\n{body.strip()}"
+    return _big_counts(f"WITH {blocks}\n{body.strip()}")
