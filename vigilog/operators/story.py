@@ -93,19 +93,19 @@ def turns(rows: DataFrame) -> DataFrame:
                  F.when(commit, c("seq"))).alias("_commit"),
     )
     kept = agg.filter(c("prompt").isNotNull() | c("reasoning").isNotNull() | (c("steps") > 0) | (c("commits") > 0))
-    said = lambda text: clip(one_line(text), V.MAX_TURN_TITLE)
+    named = lambda text, source: F.struct(
+        clip(one_line(text), V.MAX_TURN_TITLE).alias("t"), (F.lit(source) if isinstance(source, str) else source).alias("s"))
     injected = one_line(c("prompt")).rlike(V.INJECTED_BLOCK)
     tag = F.regexp_extract(one_line(c("prompt")), r"^<([a-z-]+)", 1)
     title = F.coalesce(
-        F.when(c("prompt").isNotNull() & ~injected, F.struct(said(c("prompt")).alias("t"), F.lit("captured_prompt").alias("s"))),
-        F.when(c("reasoning").isNotNull(), F.struct(
-            said(F.concat(F.lit("Agent response · "), c("reasoning"))), F.lit("assistant_explanation"))),
-        F.when(c("_first").isNotNull(), F.struct(
-            said(F.concat(F.when(c("_all_sub") == 1, "Subagent work · ").otherwise("Prompt unavailable · "), c("_first"))),
+        F.when(c("prompt").isNotNull() & ~injected, named(c("prompt"), "captured_prompt")),
+        F.when(c("reasoning").isNotNull(), named(F.concat(F.lit("Agent response · "), c("reasoning")), "assistant_explanation")),
+        F.when(c("_first").isNotNull(), named(
+            F.concat(F.when(c("_all_sub") == 1, "Subagent work · ").otherwise("Prompt unavailable · "), c("_first")),
             F.when(c("_all_sub") == 1, "subagent_action").otherwise("recorded_action"))),
-        F.when(c("commits") > 0, F.struct(said(F.concat(F.lit("Commit · "), c("_commit"))), F.lit("commit"))),
-        F.struct(F.when(tag == "task-notification", "Background task update").when(tag == "system-reminder", "System reminder")
-                 .otherwise("Local command"), F.lit("recorded_action")),
+        F.when(c("commits") > 0, named(F.concat(F.lit("Commit · "), c("_commit")), "commit")),
+        named(F.when(tag == "task-notification", "Background task update").when(tag == "system-reminder", "System reminder")
+              .otherwise("Local command"), "recorded_action"),
     )
     return kept.withColumn("_t", title).select(
         *TURN, "first_seq", "started_at", F.coalesce("_ended", "started_at").alias("ended_at"), "prompt", "reasoning",

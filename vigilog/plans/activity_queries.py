@@ -17,17 +17,17 @@ from vigilog.operators import story as T
 from vigilog.plans import bridges as B
 from vigilog.plans.oracle import SHELL, in_list, like, plausible_host, text_list, text_literal
 from vigilog.plans.registry import query
+from vigilog.session import stored
 
 CURRENT = ["r4"]
 ALL = V.RULESETS
 
 
 class Activity:
-    """Derived tables of one activity data set, built once and shared by a query.
+    """Derived layers of one activity data set, shared by all queries over it.
 
-    Events, flags, combos and actions are read several times, so they are kept
-    (memory, then disk); Spark drops the oldest under pressure and recomputes
-    lost blocks.
+    Each layer is stored once in the shared folder and read back, as a pipeline
+    would keep it: events, facts, flags, risk, combos, actions.
     """
 
     _shared: dict = {}
@@ -36,25 +36,38 @@ class Activity:
         key = (spark.sparkContext.applicationId, sf_dir, tuple(rulesets))
         if key not in cls._shared:
             made = super().__new__(cls)
-            made._derive(spark, sf_dir, rulesets)
+            made.spark, made.sf_dir, made.rulesets = spark, sf_dir, list(rulesets)
             cls._shared[key] = made
         return cls._shared[key]
 
     @classmethod
     def forget(cls) -> None:
-        """Drop the shared tables, so that the next query starts cold."""
+        """Drop the shared layers, so that the next query starts cold."""
         cls._shared.clear()
 
-    def _derive(self, spark: SparkSession, sf_dir: str, rulesets: list[str]) -> None:
-        self.rulesets = rulesets
-        self.events = B.activity(spark, sf_dir).persist()
-        self.facts = S.event_facts(self.events).persist()
-        self.flags = S.flag_rows(self.facts, rulesets)
-        self.risk = S.event_risk(self.flags).persist()
+    @property
+    def _current(self) -> Activity:
+        return Activity(self.spark, self.sf_dir)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return stored(B.activity(self.spark, self.sf_dir), "events") if self.rulesets == CURRENT else self._current.events
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return stored(S.event_facts(self.events), "facts") if self.rulesets == CURRENT else self._current.facts
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        return stored(S.flag_rows(self.facts, self.rulesets), "flags")
+
+    @cached_property
+    def risk(self) -> DataFrame:
+        return stored(S.event_risk(self.flags), "risk")
 
     @cached_property
     def combos(self) -> DataFrame:
-        return S.combos(self.facts, self.rulesets).persist()
+        return stored(S.combos(self.facts, self.rulesets), "combos")
 
     @cached_property
     def verdicts(self) -> DataFrame:
@@ -66,23 +79,23 @@ class Activity:
 
     @cached_property
     def actions(self) -> DataFrame:
-        return A.pair_actions(self.events, self.split).persist()
+        return stored(A.pair_actions(self.events, self.split), "actions")
 
     @cached_property
     def finding_seqs(self) -> DataFrame:
-        return A.finding_seqs(self.events, self.combos).persist()
+        return stored(A.finding_seqs(self.events, self.combos), "finding_seqs")
 
     @cached_property
     def findings(self) -> DataFrame:
-        return A.findings(self.events, self.combos).persist()
+        return stored(A.findings(self.events, self.combos), "findings")
 
     @cached_property
     def cards(self) -> DataFrame:
-        return N.cards(self.events, self.actions, S.newest_verdicts(self.verdicts), self.combos).persist()
+        return stored(N.cards(self.events, self.actions, S.newest_verdicts(self.verdicts), self.combos), "cards")
 
     @cached_property
     def story(self) -> DataFrame:
-        return T.story_rows(self.actions, self.events).persist()
+        return stored(T.story_rows(self.actions, self.events), "story")
 
 
 def joined(column: str) -> F.Column:

@@ -66,7 +66,8 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                            lit("tool_input.command").alias("path"), lit(12).alias("bytes"))))
     )
     git = F.when(k == 16, F.struct(
-        lit("refs/heads/main").alias("ref"),
+        lit("refs/heads/main").alias("ref"), text("old-", eid.cast("string")).alias("old_sha"),
+        text("new-", eid.cast("string")).alias("new_sha"),
         F.when(eid % 4 == 0, "force").when(eid % 4 == 1, "reset").otherwise("commit").alias("kind"),
         (eid % 4).isin(0, 1).alias("is_force"), (eid % 4 == 1).alias("is_reset"), lit(False).alias("is_delete"),
         F.struct((eid % 40).cast("int").alias("files"), (eid * 7 % 2000).cast("int").alias("insertions"),
@@ -116,3 +117,77 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(redaction.isNotNull(), 1).otherwise(0).alias("redaction_count"),
         detail.alias("d"),
     )
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, page and conversation turn as (kind, id, text)."""
+    s = lambda *cols: F.concat_ws("-", *[F.col(c).cast("string") for c in cols])
+    return (
+        table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), s("doc_id").alias("id"), "text")
+        .unionByName(table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), s("page_id").alias("id"), F.col("html").alias("text")))
+        .unionByName(table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), s("conv_id", "turn").alias("id"), "text"))
+    )
+
+
+CHAIN_COLUMNS = ["seq", "session_id", "event_type"]
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded chain over `events`, with some rows altered and some deleted."""
+    from vigilog.operators.custody import with_row_hash
+
+    rows = table(spark, sf_dir, "events").select(
+        (F.col("event_id") + 1).alias("seq"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"),
+        "event_type", F.date_format("ts", ISO).alias("ts"))
+    hashed = with_row_hash(rows, CHAIN_COLUMNS, "hash")
+    before = hashed.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("prev_hash"))
+    linked = hashed.join(before, "seq", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit("sha256:" + "0" * 64)))
+    return linked.filter((F.col("seq") - 1) % 1499 != 1498).withColumn(
+        "event_type", F.when(F.col("seq") % 997 == 0, "altered").otherwise(F.col("event_type")))
+
+
+def commit_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Commits from orders (parent = the customer's previous order) and numstat from lineitem."""
+    from pyspark.sql import Window as W
+
+    sha = lambda c: F.substring(F.sha2(c.cast("string"), 256), 1, 40)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    order = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    commits = o.withColumn("p", F.lag("o_orderkey").over(order)).select(
+        sha(F.col("o_orderkey")).alias("sha"), F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("n"),
+        F.when(F.col("p").isNotNull(), F.array(sha(F.col("p")))).otherwise(F.expr("array()").cast("array<string>")).alias("parents"))
+    scale = F.when(F.col("l_orderkey") % 50 == 0, 200).otherwise(1)
+    stats = table(spark, sf_dir, "lineitem").select(
+        sha(F.col("l_orderkey")).alias("sha"), F.concat(F.lit("src/p"), (F.col("l_partkey") % 50).cast("string"), F.lit(".ts")).alias("path"),
+        F.when(F.col("l_partkey") % 29 == 0, "-").otherwise((F.col("l_quantity").cast("bigint") * 5).cast("string")).alias("added"),
+        (F.col("l_linenumber") * scale).cast("string").alias("removed"))
+    return commits, stats
+
+
+def worktrees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recorded mutations, end-of-session delta and start baseline, one session per order."""
+    path = F.concat(F.lit("src/p"), (F.col("l_partkey") % 50).cast("string"), F.lit(".ts"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey"), path.alias("path")).agg(
+        F.min("l_linenumber").alias("n"), F.min(F.col("l_suppkey") % 7).alias("s"), F.min(F.col("l_partkey") % 11).alias("p"),
+        F.min(F.col("l_partkey") % 13).alias("b"))
+    session = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+    body = F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("-", F.col("l_orderkey").cast("string"), "path"), 256))
+    disk = F.when(F.col("n") == 3, F.concat(F.lit("sha256:"), F.sha2(F.lit("changed"), 256))).otherwise(body)
+    mutations = rows.filter("s <> 0").select(
+        session.alias("session_id"), F.concat(F.lit("/repo/"), "path").alias("target"), F.col("n").cast("bigint").alias("seq"),
+        F.lit("body").alias("kind"), body.alias("content_hash"), (F.col("n") != 5).alias("stored"), (F.col("n") == 6).alias("redacted"))
+    delta = rows.filter("p <> 0").select(session.alias("session_id"), "path", F.lit("M").alias("status"), disk.alias("sha256"))
+    base = rows.filter("b = 0").select(session.alias("session_id"), "path", body.alias("sha256"))
+    return mutations, delta, base
+
+
+def recorder_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transcript tool uses, recorded uses, and windows in which the recorder was down."""
+    e = table(spark, sf_dir, "events")
+    uses = e.select(F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("tool_use_id"),
+                    F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").alias("at"))
+    captured = e.filter(F.col("event_id") % 17 != 0).select(F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("tool_use_id"))
+    day = F.date_trunc("day", "ts")
+    gaps = e.filter(F.dayofmonth("ts") % 5 == 0).select(day.alias("from_at")).distinct().withColumn(
+        "to_at", F.col("from_at") + F.expr("interval 2 hours"))
+    return uses, captured, gaps

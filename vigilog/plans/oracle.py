@@ -305,4 +305,7 @@ def sql(body: str) -> str:
     if not order:
         return _big_counts(body.strip())
     blocks = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
-    return _big_counts(f"WITH {blocks}\n{body.strip()}")
+    body = body.strip()
+    if body.startswith("WITH RECURSIVE"):
+        return _big_counts(f"WITH RECURSIVE {blocks},\n{body[len('WITH RECURSIVE'):]}")
+    return _big_counts(f"WITH {blocks}\n{body}")
