@@ -189,13 +189,15 @@ def _query_payload_host(text: Column, pattern: str, drop_user: bool) -> Column:
     return F.get(hit, F.lit(0))["host"]
 
 
-def external_send(action: Column, target: Column) -> Column:
+def external_send(action: Column, target: Column, host: Column | None = None, secret: Column | None = None) -> Column:
     """struct(via, host, secret) of an outbound data-bearing send, else null.
 
     Shell forms are tried in fixed order and the first with a non-local host wins.
+    A caller that already holds the command's first outside host and sensitive
+    file passes them in, so that they are computed once per row.
     """
-    secret = first_sensitive_token(target)
-    host = F.get(external_hosts(target), F.lit(0))
+    secret = first_sensitive_token(target) if secret is None else secret
+    host = F.get(external_hosts(target), F.lit(0)) if host is None else host
 
     def sent(via: str, host: Column, secret: Column = F.lit(None).cast("string")) -> Column:
         return F.struct(F.lit(via).alias("via"), host.alias("host"), secret.alias("secret"))

@@ -50,7 +50,12 @@ def event_facts(events: DataFrame, recorder: str = "recorder") -> DataFrame:
     action, target, tool = F.col("action_type"), F.col("target"), F.col("tool_name")
     text = F.coalesce(target, F.lit(""))
     shell, change = P.is_shell(action) & (text != ""), P.is_file_change(action) & (text != "")
-    touched = P.sensitive_path_touched(action, target)
+    # Values that several predicates need get columns of their own first.
+    events = events.withColumns({
+        "_touched": P.sensitive_path_touched(action, target),
+        "_host": F.when(P.is_shell(action), F.get(P.external_hosts(text), F.lit(0))),
+    })
+    touched = F.col("_touched")
     git, markers, weakens = F.col("d.git"), F.col("d.output_signals.injection"), F.col("d.mutation.weakens")
     no = F.lit(False)
     return events.select(
@@ -74,7 +79,7 @@ def event_facts(events: DataFrame, recorder: str = "recorder") -> DataFrame:
         ).alias("mass_kind"),
         P.mcp_server(tool).alias("server"),
         F.when(action == "mcp_call", P.first_sensitive_token(text)).alias("outbound_path"),
-        P.external_send(action, text).alias("send"),
+        P.external_send(action, text, F.col("_host"), touched).alias("send"),
         F.when(F.size(markers) > 0, markers).alias("markers"),
         P.arms_injection(action, markers).alias("arms"),
         P.recorder_tamper(action, text, recorder).alias("tamper"),
