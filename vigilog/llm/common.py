@@ -49,3 +49,13 @@ def small_batches(spark: SparkSession) -> None:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back, so that it is computed once and survives lost executors."""
     return stored(df, name)
+
+
+#: Rows of two or three numbers that may be broadcast: some 50 MB in an executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def matched(df: DataFrame, few: DataFrame, on: Column, how: str, rows: int | None = None) -> DataFrame:
+    """Join with a saved table of narrow rows, which is broadcast only if its counted rows are within bounds."""
+    n = few.count() if rows is None else rows
+    return df.join(F.broadcast(few) if n <= BROADCAST_ROWS else few, on, how)
