@@ -118,7 +118,7 @@ class Paragraphs:
         # With fewer shingles than 1 / (1 - similarity) - 1, one shingle of difference is too much.
         least = SHINGLE + int(np.ceil(1 / (1 - SIMILARITY) - 1 - 1e-9)) - 1
         _, one = np.unique(self.hash, return_index=True)
-        one = one[self.n_words[one] >= least]
+        one = np.sort(one[self.n_words[one] >= least])
         if not len(one):
             return none, none
         n = len(self.words) - SHINGLE + 1
