@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import mixing, passages, quality, simhash, urls
+from vigilog.llm import mixing, packing, passages, quality, simhash, urls
 from vigilog.llm.checks import CHECKS
 from vigilog.llm.common import table
 
@@ -52,3 +52,9 @@ def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
