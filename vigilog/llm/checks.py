@@ -78,4 +78,16 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """
 
-CHECKS = {"op5_url_filters": _OP5, "op6_quality_ledger": _OP6, "op8_source_mix": _OP8}
+#: op10: all products of queries and other vectors, whole numbers throughout.
+_OP10 = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+CHECKS = {"op10_norm_sorted_top_k": _OP10, "op5_url_filters": _OP5, "op6_quality_ledger": _OP6, "op8_source_mix": _OP8}

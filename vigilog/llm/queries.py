@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import mixing, packing, passages, quality, simhash, urls
+from vigilog.llm import mixing, packing, passages, quality, simhash, topk, urls
 from vigilog.llm.checks import CHECKS
 from vigilog.llm.common import table
 
@@ -58,3 +58,8 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op10_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
