@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import mixing, packing, passages, quality, simhash, topk, urls
+from vigilog.llm import html_text, mixing, packing, passages, quality, simhash, topk, urls
 from vigilog.llm.checks import CHECKS
-from vigilog.llm.common import table
+from vigilog.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -63,3 +63,10 @@ def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_density_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extracted(F.col("html")).alias("text"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
