@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import html_text, mixing, packing, passages, quality, simhash, topk, urls
+from vigilog.llm import html_text, mixing, packing, passages, quality, simhash, topk, toxicity, urls
 from vigilog.llm.checks import CHECKS
 from vigilog.llm.common import small_batches, table
 
@@ -70,3 +70,8 @@ def op1_density_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extracted(F.col("html")).alias("text"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op9_convolution_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
