@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from vigilog.llm.common import fresh, matched, saved, small_batches
 from vigilog.llm.components import components
 from vigilog.llm.runs import collisions, whole_runs
+from vigilog.llm.words import Words, groups, mix, powers, sequence_hash, texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -39,7 +40,6 @@ BANDS, ROWS = 6, 2
 LEAST_WORDS = 4
 MIN_WORDS = 20
 
-_BYTES = 2 << 20
 _SEEN = 400_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SALTS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -47,44 +47,17 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(max(0, n - 1), base, np.uint64))])[:max(1, n)]
-
-
-def _sequence_hash(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: np.uint64) -> np.ndarray:
-    """A hash of each stretch of numbers, from its first place and its length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    place = np.arange(len(values)) - np.repeat(starts, sizes)
-    sums = np.add.reduceat(values * _powers(base, int(sizes.max()))[place], starts)
-    return _mix(sums + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 class Paragraphs:
     """The paragraphs of some whole texts, as arrays: text number, place in it, character range, words, content hash."""
 
     def __init__(self, texts: list[str | None]):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        data = np.frombuffer(b"\n".join(raw).lower() + b"\n", np.uint8)
-        text_ends = np.cumsum([len(r) + 1 for r in raw])
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        found = Words(texts)
+        data, starts, ends, owner, text_ends = found.data, found.starts, found.ends, found.owner, found.text_ends
         self.text = np.zeros(0, np.int64)
         self.n = 0
-        if not len(starts):
+        if not found.n:
             return
-        sizes = ends - starts
-        letters = data[~space].astype(np.uint64) + np.uint64(1)
-        self.words = _sequence_hash(letters, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, _P)
-        owner = np.searchsorted(text_ends, starts, side="right")
+        self.words = found.hash
         lines = np.concatenate([[0], np.cumsum(data == 10)])
         gap_end = np.append(starts[1:], len(data))
         last = np.append(owner[1:] != owner[:-1], True)
@@ -98,7 +71,7 @@ class Paragraphs:
         self.first = np.concatenate([[0], np.array(cuts[:-1], np.int64)])
         self.n_words = last_word - self.first + 1
         self.n = len(cuts)
-        self.hash = _sequence_hash(self.words, self.first, self.n_words, _Q)
+        self.hash = sequence_hash(self.words, self.first, self.n_words, _Q)
         self.text = owner[self.first]
         opens = np.concatenate([[0], np.flatnonzero(np.diff(self.text)) + 1])
         self.place = np.arange(self.n) - np.repeat(opens, np.diff(np.append(opens, self.n)))
@@ -123,45 +96,26 @@ class Paragraphs:
             return none, none
         n = len(self.words) - SHINGLE + 1
         shingles = np.zeros(n, np.uint64)
-        for k, power in enumerate(_powers(_Q, SHINGLE)):
+        for k, power in enumerate(powers(_Q, SHINGLE)):
             shingles += self.words[k:k + n] * power
-        shingles = _mix(shingles)
+        shingles = mix(shingles)
         cuts = np.stack([self.first[one], self.first[one] + self.n_words[one] - SHINGLE + 1], axis=1).ravel()
         keys = []
         for band in range(BANDS):
             key = np.full(len(one), band, np.uint64)
             for salt in _SALTS[band * ROWS:(band + 1) * ROWS]:
-                salted = np.append(_mix(shingles ^ salt), np.uint64(0))
-                key = _mix(key * _P + np.minimum.reduceat(salted, cuts)[::2])
+                salted = np.append(mix(shingles ^ salt), np.uint64(0))
+                key = mix(key * _P + np.minimum.reduceat(salted, cuts)[::2])
             keys.append(key)
         return np.concatenate(keys), np.tile(self.hash[one], BANDS)
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in groups of at most _BYTES characters, or single longer texts."""
-    for batch in batches:
-        sizes = batch["text"].str.len().fillna(0).astype(int).to_numpy()
-        begin = total = 0
-        for k, size in enumerate(sizes):
-            if k > begin and total + size > _BYTES:
-                yield batch.iloc[begin:k]
-                begin = k
-                total = 0
-            total += size
-        if begin < len(batch):
-            yield batch.iloc[begin:]
-
-
-def _texts(frame: pd.DataFrame) -> list[str | None]:
-    return [t if isinstance(t, str) else None for t in frame["text"]]
-
-
 _OCCURRENCE = "doc_id long, text_hash long, place int, start long, end long, n_words int, hash long"
 
 
 def _occurrence_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in _groups(batches):
-        p = Paragraphs(_texts(frame))
+    for frame in groups(batches):
+        p = Paragraphs(texts_of(frame))
         if p.n:
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].array[p.text], "text_hash": frame["text_hash"].to_numpy()[p.text],
@@ -172,8 +126,8 @@ def _occurrence_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     # Copies met in one task need their bands once; forgetting some only costs rows.
     seen: set[int] = set()
-    for frame in _groups(batches):
-        keys, values = Paragraphs(_texts(frame)).bands()
+    for frame in groups(batches):
+        keys, values = Paragraphs(texts_of(frame)).bands()
         if not len(keys):
             continue
         own = values[:len(values) // BANDS].tolist()
