@@ -92,6 +92,8 @@ class Model:
         return best
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.bias == -np.inf:  # nothing was labelled
+            return np.zeros(len(texts))
         pooled = np.zeros((len(texts), FILTERS * len(WIDTHS)), np.float32)
         hashed = [self.row_of[buckets(t)] for t in texts]
         group: list[int] = []
