@@ -92,8 +92,9 @@ def rm_is_catastrophic(command: Column) -> Column:
     def dangerous(segment: Column) -> Column:
         tail = F.regexp_extract(segment, r"^(?>'[^']*'|\"[^\"]*\"|(?!\brm\b)[\s\S])*+\brm\b([\s\S]*)$", 1)
         flags = F.concat(F.lit("rm"), without_quotes(tail))
+        # The `rm` itself is no target of its own: it names no root, home or system path.
         words = F.filter(
-            F.slice(F.split(F.concat(F.lit("rm"), tail), r"\s+"), 2, 10_000),
+            F.split(F.concat(F.lit("rm"), tail), r"\s+"),
             lambda w: (w != "") & ~w.startswith("-"),
         )
         return flags.rlike(V.RM_RECURSIVE) & flags.rlike(V.RM_FORCE) & F.exists(words, is_catastrophic_rm_target)

@@ -19,7 +19,7 @@ def url_host(text: Column) -> Column:
 def action_summary(action: Column, target: Column, tool: Column, description: Column) -> Column:
     text = F.coalesce(target, F.lit(""))
     parts = F.split(F.coalesce(tool, F.lit("")), "__")
-    call = F.nullif(F.array_join(F.slice(parts, 3, 100), "__"), F.lit(""))
+    call = F.nullif(F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "__"), F.lit(""))
     code = lambda x: F.concat(F.lit("`"), clip(x, 90), F.lit("`"))
     made = (
         F.when(action.isin("shell_command", "git_action"), shell_summary(text))
@@ -87,7 +87,7 @@ def plural(count: Column, noun: str) -> Column:
 def title_case(identifier: Column) -> Column:
     words = F.filter(F.split(identifier, "[-_]"), lambda w: w != "")
     return F.array_join(F.transform(
-        words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+        words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2_000_000_000))), " ")
 
 
 def markdown_cell(text: Column) -> Column:

@@ -90,11 +90,12 @@ def secret_kinds(events: DataFrame) -> DataFrame:
     return events.select("session_id", F.explode("d.redaction.type").alias("kind")).distinct()
 
 
-def egress_hosts(risk: DataFrame, findings: DataFrame, limit: int = 24) -> DataFrame:
-    """Plausible outside hosts per session, finding hosts first, at most `limit`."""
+def egress_hosts(risk: DataFrame, findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Plausible outside hosts per session, finding hosts first; all of them unless a limit is asked for."""
     sent = risk.filter(F.col("send_host").isNotNull()).groupBy("session_id", F.col("send_host").alias("host")).agg(F.min("seq").alias("seq"))
     named = findings.filter(F.col("host").isNotNull()).groupBy("session_id", "host").agg(F.min("consequent_seq").alias("_cited"))
     hosts = sent.join(named, ["session_id", "host"], "full").filter(looks_like_host(F.col("host")))
     order = W.partitionBy("session_id").orderBy(F.col("_cited").isNull(), F.coalesce("_cited", "seq"), "host")
-    # A rank filter on row_number lets Spark keep only `limit` rows per session before the shuffle.
-    return hosts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("session_id", "rank", "host")
+    # With a limit, the rank filter lets Spark keep only that many rows per session before the shuffle.
+    ranked = hosts.withColumn("rank", F.row_number().over(order))
+    return (ranked if limit is None else ranked.filter(F.col("rank") <= limit)).select("session_id", "rank", "host")

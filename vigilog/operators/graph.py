@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilog.functions import fixed_values as V
@@ -161,12 +163,12 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFra
     return walk("dst", "src").unionByName(walk("src", "dst")).distinct()
 
 
-def tainted(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """All nodes connected, along edges in one direction, to a risk node."""
+def tainted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """All nodes connected, along edges in one direction, to a risk node; rounds end when no new node is met."""
     def closure(src: str, dst: str) -> DataFrame:
         links = cut_lineage(edges.select("session_id", F.col(src).alias("id"), F.col(dst).alias("next")).distinct())
         front = seen = cut_lineage(nodes.filter("risk").select(*NODE).distinct())
-        for _ in range(max_rounds):
+        while True:
             front = cut_lineage(front.join(links, NODE).select("session_id", F.col("next").alias("id")).distinct().join(seen, NODE, "left_anti"))
             if front.isEmpty():
                 break
@@ -176,7 +178,7 @@ def tainted(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataF
     return closure("src", "dst").unionByName(closure("dst", "src")).distinct()
 
 
-def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Longest-path layer of every node, all sessions peeled together.
 
     Round r settles the nodes whose predecessors are all settled. Nodes on a
@@ -185,7 +187,7 @@ def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
     links = cut_lineage(edges.select("session_id", "src", "dst").distinct())
     waiting = cut_lineage(nodes.select(*NODE).distinct())
     open_links, settled = links, None
-    for round_ in range(max_rounds):
+    for round_ in count():
         blocked = open_links.select("session_id", F.col("dst").alias("id")).distinct()
         ready = cut_lineage(waiting.join(blocked, NODE, "left_anti").withColumn("layer", F.lit(round_)))
         if ready.isEmpty():

@@ -38,7 +38,7 @@ def mentions_path(text: Column, path: Column) -> Column:
 
 
 def mentions_word(text: Column, word: Column) -> Column:
-    return (F.length(word) <= 200) & F.rlike(text, F.concat(F.lit(r"(?i)\b\Q"), word, F.lit(r"\E\b")))
+    return F.rlike(text, F.concat(F.lit(r"(?i)\b\Q"), word, F.lit(r"\E\b")))
 
 
 def undisclosed_actions(observed: DataFrame, told: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def stated_entities(told: DataFrame) -> DataFrame:
     words = F.transform(
         F.split("text", r"[\s`\"'()\[\]{},;<>]+"), lambda w: F.regexp_replace(w, r"^[.:]+|[.:,]+$", ""))
     rows = told.filter(~F.col("truncated")).select(*TURN, F.explode(F.array_distinct(words)).alias("value")).filter(
-        (F.col("value") != "") & (F.length("value") <= 200))
+        F.col("value") != "")
     path = is_sensitive_path(F.col("value"))
     host = F.col("value").contains(".") & ~F.col("value").contains("/") & looks_like_host(F.col("value"))
     return rows.withColumn("kind", F.when(path, "path").when(host, "host")).filter(F.col("kind").isNotNull())

@@ -18,6 +18,8 @@ from vigilog.operators.sessions import millis
 LINE = ["session_id", "section", "line", "text"]
 
 
+MANIFEST_FAN, MANIFEST_LEVELS = 256, 5
+
 def _lines(df: DataFrame, section: int, line: Column, text: Column) -> DataFrame:
     return df.select("session_id", F.lit(section).alias("section"), line.cast("bigint").alias("line"), text.alias("text"))
 
@@ -65,15 +67,22 @@ def case_lines(report: DataFrame, custody: DataFrame, files: DataFrame, commits:
 
 
 def manifests(lines: DataFrame) -> DataFrame:
-    """One digest per case file. It does not depend on line arrival order and is
-    combined map-side, so no file is gathered to be hashed."""
+    """One digest per case file: a hash tree over its sorted lines.
+
+    Lines are hashed together in stretches of their numbers, and the stretches in
+    levels of fixed fan-in, so no file is gathered to be hashed, arrival order does
+    not matter, and every line counts, equal ones too.
+    """
     digest = sha256_text(F.concat_ws("\u0001", F.col("section").cast("string"), F.col("line").cast("string"), "text"))
-    halves = lines.select("session_id", *[
-        F.conv(F.substring(digest, 8 + 15 * i, 15), 16, 10).cast("bigint").alias(f"h{i}") for i in range(4)])
-    mixed = halves.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("lines"), *[F.bit_xor(f"h{i}").alias(f"x{i}") for i in range(4)])
-    return mixed.select("session_id", "lines", sha256_text(F.concat_ws(
-        ":", F.col("lines").cast("string"), *[F.hex(f"x{i}") for i in range(4)])).alias("manifest"))
+    tree = lines.select("session_id", "section", F.col("line").cast("bigint").alias("part"), digest.alias("hash"), F.lit(1).alias("lines"))
+    for _ in range(MANIFEST_LEVELS):
+        tree = tree.groupBy("session_id", "section", F.floor(F.col("part") / MANIFEST_FAN).cast("bigint").alias("up")).agg(
+            sha256_text(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "hash"))), lambda x: x["hash"]), "|")).alias("hash"),
+            F.sum("lines").alias("lines")).withColumnRenamed("up", "part")
+    # What is left of a section is its highest parts: few, as each level divides positions by the fan.
+    whole = tree.groupBy("session_id").agg(F.sum("lines").alias("lines"), F.array_sort(F.collect_list(F.struct("section", "part", "hash"))).alias("parts"))
+    return whole.select("session_id", "lines", sha256_text(F.concat_ws(
+        ":", F.col("lines").cast("string"), F.array_join(F.transform("parts", lambda x: F.concat_ws(".", x["section"].cast("string"), x["part"].cast("string"), x["hash"])), "|"))).alias("manifest"))
 
 
 def write_reports(lines: DataFrame, folder: str) -> None:

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilog.functions.wording import action_summary
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _folds() -> dict[str, str]:
+    """Lower-case letters that are a letter with marks, by their canonical decomposition."""
+    out = {}
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and chr(code) == chr(code).lower() and parts[0].isalpha() and all(unicodedata.combining(c) for c in parts[1:]):
+            out[chr(code)] = parts[0]
+    return out
+
+
+ACCENTED, PLAIN = ("".join(x) for x in zip(*_folds().items()))
 
 
 def searchable(events: DataFrame) -> DataFrame:
@@ -79,7 +92,7 @@ def search(index: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def newest_hits(texts: DataFrame, hits: DataFrame, terms: list[str], limit: int = 200) -> DataFrame:
     """Newest matching events, each with its terms marked."""
-    marked = F.regexp_replace("text", "(?i)\\b(" + "|".join(terms) + ")\\b", "[$1]")
+    marked = F.regexp_replace("text", "(?i)\\b(" + "|".join(map(re.escape, terms)) + ")\\b", "[$1]")
     return texts.join(hits, ["session_id", "seq"], "left_semi").select(
         "session_id", "seq", "kind", "ts", "prompt_id", marked.alias("snippet")
     ).orderBy(F.desc("ts"), F.desc("seq"), "session_id").limit(limit)

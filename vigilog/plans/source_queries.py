@@ -104,21 +104,32 @@ def third_vendor_outcomes(spark, sf_dir):
     return out.select("session_id", c("agent_id").alias("seq_"), "phase", "success")
 
 
+# Some calls lose their Before; seconds run so fast that some Befores expire.
+CTES["keyless"] = """
+  SELECT *, row_number() OVER (PARTITION BY session_id, tool_name, input ORDER BY seq) AS n FROM (
+    SELECT session_id, tool_name, coalesce(target, '') AS input, seq, 700 * seq AS at, phase = 'pre' AS opens FROM activity
+    WHERE hook_event IN ('PreToolUse', 'PostToolUse', 'PostToolUseFailure') AND NOT (phase = 'pre' AND seq % 5 = 0))"""
+
+
 @query("paired_without_ids", "D2", """
-    SELECT a.session_id, a.seq AS after_pos, CASE WHEN b.seq < a.seq THEN b.seq END AS before_pos FROM
-      (SELECT *, row_number() OVER (PARTITION BY session_id, tool_name, coalesce(target, '') ORDER BY seq) AS n FROM activity WHERE hook_event LIKE 'PostToolUse%') a
-    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY session_id, tool_name, coalesce(target, '') ORDER BY seq) AS n FROM activity WHERE hook_event = 'PreToolUse') b
-      ON a.session_id = b.session_id AND a.tool_name = b.tool_name AND coalesce(a.target, '') = coalesce(b.target, '') AND a.n = b.n""")
+    WITH RECURSIVE w AS (
+      SELECT DISTINCT session_id, tool_name, input, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS q, CAST(NULL AS BIGINT) AS after_pos, CAST(NULL AS BIGINT) AS before_pos FROM keyless
+      UNION ALL
+      SELECT session_id, tool_name, input, n, CASE WHEN opens THEN list_append(live, seq) ELSE live[2:] END, CASE WHEN NOT opens THEN seq END, CASE WHEN NOT opens THEN live[1] END
+      FROM (SELECT w.session_id, w.tool_name, w.input, e.n, e.opens, e.seq, list_filter(w.q, lambda p: 700 * p >= e.at - 1800) AS live
+        FROM w JOIN keyless e ON e.session_id = w.session_id AND e.tool_name = w.tool_name AND e.input = w.input AND e.n = w.n + 1))
+    SELECT session_id, after_pos, before_pos FROM w WHERE after_pos IS NOT NULL""")
 def paired_without_ids(spark, sf_dir):
-    e = calls(spark, sf_dir).filter(F.col("tool_use_id").isNotNull()).select(
+    rows = calls(spark, sf_dir).filter(F.col("hook_event").isin("PreToolUse", "PostToolUse", "PostToolUseFailure"))
+    e = rows.filter(~((F.col("phase") == "pre") & (F.col("seq") % 5 == 0))).select(
         "session_id", "tool_name", F.coalesce("target", F.lit("")).alias("input"), F.when(F.col("phase") == "pre", "before").otherwise("after").alias("stage"),
-        F.col("seq").cast("double").alias("at"), F.col("seq").alias("pos"))
+        (700 * F.col("seq")).cast("double").alias("at"), F.col("seq").alias("pos"))
     return H.pair_without_ids(e).select("session_id", "after_pos", "before_pos")
 
 
 @query("ref_lines", "A6", """
-    SELECT user_id AS batch, event_id AS pos, 'refs/heads/b' || (event_id % 9) AS ref FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n
-      FROM events WHERE event_id % 4 <> 1 AND event_id % 7 <> 3) WHERE n <= 100""")
+    SELECT user_id AS batch, event_id AS pos, 'refs/heads/b' || (event_id % 9) AS ref
+    FROM events WHERE event_id % 4 <> 1 AND event_id % 7 <> 3""")
 def ref_lines(spark, sf_dir):
     n = F.col("event_id")
     sha = F.substring(F.sha2(n.cast("string"), 256), 1, 40)
@@ -171,7 +182,8 @@ def completed_tool_uses(spark, sf_dir):
 
 @query("worktree_delta", "A7", """
     SELECT session_id, path, 'M' AS status, insertions, deletions FROM (SELECT 'o' || l_orderkey AS session_id, 'src/p' || (l_partkey % 50) || '.ts' AS path,
-      CAST(max(CASE WHEN l_partkey % 29 = 0 THEN 0 ELSE CAST(l_quantity AS INT) * 5 END) AS INT) AS insertions, CAST(max(l_linenumber) AS INT) AS deletions FROM lineitem GROUP BY 1, 2)""")
+      CAST(max(CASE WHEN l_partkey % 29 = 0 THEN 0 ELSE CAST(l_quantity AS INT) * 5 END) AS INT) AS insertions, CAST(max(l_linenumber) AS INT) AS deletions FROM lineitem GROUP BY 1, 2)
+    UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'new/s' || (l_suppkey % 7) || '.md', '?', 0, 0 FROM lineitem WHERE l_suppkey % 3 = 0""")
 def worktree_delta(spark, sf_dir):
     c = F.col
     path = F.concat(F.lit("src/p"), (c("l_partkey") % 50).cast("string"), F.lit(".ts"))
@@ -179,7 +191,9 @@ def worktree_delta(spark, sf_dir):
         F.when(c("l_partkey") % 29 == 0, "-").otherwise((c("l_quantity").cast("int") * 5).cast("string")).alias("a"), c("l_linenumber").cast("string").alias("r"))
     status = t.select("session_id", F.concat_ws("\t", F.lit("M"), "path").alias("value")).distinct()
     counts = t.select("session_id", F.concat_ws("\t", "a", "r", "path").alias("value"))
-    return R.worktree_delta(status, counts, status.limit(0)).select("session_id", "path", "status", "insertions", "deletions")
+    loose = B.table(spark, sf_dir, "lineitem").filter("l_suppkey % 3 = 0").select(
+        F.concat(F.lit("o"), c("l_orderkey").cast("string")).alias("session_id"), F.concat(F.lit("new/s"), (c("l_suppkey") % 7).cast("string"), F.lit(".md")).alias("value"))
+    return R.worktree_delta(status, counts, loose).select("session_id", "path", "status", "insertions", "deletions")
 
 
 @query("environment_servers", "A9", """

@@ -375,7 +375,7 @@ def secret_kinds(spark, sf_dir):
       SELECT session_id, host, min(seq) AS seq, min(cited) AS cited FROM (
         SELECT session_id, send_host AS host, seq, NULL AS cited FROM risk WHERE send_host IS NOT NULL
         UNION ALL SELECT session_id, host, NULL, consequent_seq FROM findings WHERE host IS NOT NULL) GROUP BY 1, 2)
-    WHERE {plausible_host('host')} QUALIFY rank <= 24""")
+    WHERE {plausible_host('host')}""")
 def egress_hosts(spark, sf_dir):
     s = Story(spark, sf_dir)
     return L.egress_hosts(s.a.risk, s.a.findings)

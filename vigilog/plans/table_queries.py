@@ -30,7 +30,7 @@ def _replaced(text: str) -> str:
     rules = [("assigned-secret", V.ASSIGNED_SECRET)] + V.CONTEXT_SECRETS
     for kind, pattern in rules:
         tail = "@" if pattern.endswith("(?=@)") else ""
-        pattern = pattern.replace("(?=@)", "@").replace("{1,4096}", "+")
+        pattern = pattern.replace("(?=@)", "@").replace("++", "+")
         text = f"regexp_replace({text}, {text_literal('(?i)' + pattern)}, '\\1[REDACTED:{kind}]{tail}', 'g')"
     return text
 
@@ -144,9 +144,9 @@ def term_search(spark, sf_dir):
     return Q.search_terms(index(spark, sf_dir), ["kind", "id"], ["the", "token"])
 
 
-@query("prefix_search", "N4", "SELECT DISTINCT kind, id FROM tokens WHERE starts_with(term, 'passw')")
+@query("prefix_search", "N4", "SELECT DISTINCT kind, id FROM tokens WHERE starts_with(term, 'tha')")
 def prefix_search(spark, sf_dir):
-    return Q.search(index(spark, sf_dir), ["kind", "id"], "passw*")
+    return Q.search(index(spark, sf_dir), ["kind", "id"], "tha*")
 
 
 @query("phrase_search", "N4", """

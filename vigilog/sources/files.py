@@ -8,23 +8,25 @@ from vigilog.functions import fixed_values as V
 from vigilog.functions.hashing import sha256_text
 
 
-def ref_lines(lines: DataFrame, limit: int = V.REF_BATCH_LIMIT) -> DataFrame:
-    """`old new ref` lines of a batch (batch, pos, value), cleaned and limited per batch."""
+def ref_lines(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """`old new ref` lines of a batch (batch, pos, value), cleaned; all of them unless a limit per batch is asked for."""
     from pyspark.sql import Window as W
 
     parts = F.split(F.trim("value"), r"\s+")
-    ref = F.array_join(F.slice(parts, 3, 1000), " ")
+    ref = F.array_join(F.slice(parts, F.lit(3), F.size(parts)), " ")
     rows = lines.withColumn("parts", parts).filter(F.size("parts") >= 3).select(
         "batch", "pos", F.get("parts", F.lit(0)).alias("old_sha"), F.get("parts", F.lit(1)).alias("new_sha"), ref.alias("ref"))
     both_zero = F.col("old_sha").rlike(V.ZERO_OBJECT) & F.col("new_sha").rlike(V.ZERO_OBJECT)
     noise = F.col("ref").rlike("^(AUTO_MERGE|ORIG_HEAD)$") | F.col("ref").startswith("refs/stash") | F.col("ref").startswith("refs/recorder/")
     clean = rows.filter(F.col("old_sha").rlike(V.OBJECT_NAME) & F.col("new_sha").rlike(V.OBJECT_NAME) & ~noise & ~both_zero)
-    # The limit is the feature; a rank filter keeps at most `limit` rows per batch before the shuffle.
+    if limit is None:
+        return clean
+    # A rank filter keeps at most `limit` rows per batch before the shuffle.
     return clean.withColumn("n", F.row_number().over(W.partitionBy("batch").orderBy("pos"))).filter(F.col("n") <= limit).drop("n")
 
 
-def worktree_delta(name_status: DataFrame, numstat: DataFrame, untracked: DataFrame, limit: int = V.DELTA_FILE_LIMIT) -> DataFrame:
-    """One row per changed path from three listings of (session_id, value) lines."""
+def worktree_delta(name_status: DataFrame, numstat: DataFrame, untracked: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per changed path from three listings of (session_id, value) lines; a limit per session is marked in `truncated`."""
     from pyspark.sql import Window as W
 
     cells = F.split("value", "\t")
@@ -39,6 +41,8 @@ def worktree_delta(name_status: DataFrame, numstat: DataFrame, untracked: DataFr
     rows = tracked.join(loose, ["session_id", "path"], "full").join(counts, ["session_id", "path"], "left").select(
         "session_id", "path", F.coalesce("status", "_new").alias("status"), F.coalesce("insertions", zero).alias("insertions"),
         F.coalesce("deletions", zero).alias("deletions"))
+    if limit is None:
+        return rows.withColumn("truncated", F.lit(False))
     sizes = rows.groupBy("session_id").agg((F.count(F.lit(1)) > limit).alias("truncated"))
     order = W.partitionBy("session_id").orderBy(F.col("status") == "?", "path")
     return rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n").join(sizes, "session_id")
@@ -125,13 +129,13 @@ def merged_telemetry(*collectors: DataFrame) -> DataFrame:
     return out.orderBy("ts")
 
 
-def process_tree(processes: DataFrame, roots: DataFrame, max_depth: int = 256) -> DataFrame:
+def process_tree(processes: DataFrame, roots: DataFrame) -> DataFrame:
     """Every process below the roots. A process has one parent, so each round is one join."""
     from vigilog.session import cut_lineage
 
     links = processes.groupBy("pid").agg(F.min("ppid").alias("ppid"))
     front = seen = cut_lineage(roots.select("pid").distinct())
-    for _ in range(max_depth):
+    while True:
         front = cut_lineage(links.join(front.withColumnRenamed("pid", "ppid"), "ppid").select("pid").join(seen, "pid", "left_anti"))
         if front.isEmpty():
             break
@@ -170,6 +174,7 @@ def policies(lines: DataFrame) -> DataFrame:
         a, lambda t: t.isNull() | (F.trim(t) == "") | (F.length(t) > V.POLICY_PATTERN_CHARS)))
     bad_entry = lambda x: (
         x["id"].isNull() | ~x["id"].rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,79}$") | (F.coalesce(F.trim(x["reason"]), F.lit("")) == "")
+        | (F.length(F.trim(x["reason"])) > V.POLICY_REASON_CHARS)
         | F.exists(sels(x), bad_list) | ~F.exists(sels(x), lambda a: a.isNotNull()))
     error = (
         F.when(F.col("p").isNull() | F.col("keys").isNull(), "invalid JSON")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -19,12 +20,19 @@ def split_live(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hooks.good(parsed), parsed.filter("reject IS NOT NULL").select("value", "reject")
 
 
-def write_live(lines: DataFrame, ingest_time: str, events_folder: str, rejects_folder: str, checkpoint: str):
-    """Append normalised events and rejects; a bad line never fails the stream."""
-    def batch(df: DataFrame, _epoch: int) -> None:
-        rows, bad = split_live(df)
-        hooks.normalise(hooks.first_vendor(rows), ingest_time).write.mode("append").parquet(events_folder)
-        bad.write.mode("append").parquet(rejects_folder)
+def write_live(lines: DataFrame, ingest_time: str | None, events_folder: str, rejects_folder: str, checkpoint: str, vendor=hooks.first_vendor):
+    """Write normalised events of one vendor and rejects; a bad line never fails the stream.
+
+    Each micro-batch has a folder of its own, by its number, and a retried one
+    replaces it. The ingest time is that of the micro-batch unless one is given.
+    """
+    def batch(df: DataFrame, epoch: int) -> None:
+        now = ingest_time or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+        lines = df.persist()
+        rows, bad = split_live(lines)
+        hooks.normalise(vendor(rows), now).write.mode("overwrite").parquet(f"{events_folder}/epoch={epoch}")
+        bad.write.mode("overwrite").parquet(f"{rejects_folder}/epoch={epoch}")
+        lines.unpersist()
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
@@ -74,7 +82,8 @@ def _fire(state: dict, row) -> list[tuple]:
 def _advance(key, batches, state):
     now = json.loads(state.get[0]) if state.exists else {
         "touch": None, "arm": None, "fired": [], "servers": {}, "reads": [], "last": 0}
-    for pdf in batches:
+    # A trigger's rows come in any order and in several Arrow batches: they are put in order as a whole.
+    for pdf in [pd.concat(list(batches), ignore_index=True)]:
         out = []
         for row in pdf.sort_values("seq").astype(object).where(pdf.notna(), None).itertuples(index=False):
             if row.seq > now["last"]:  # events already folded do not count twice
@@ -106,12 +115,12 @@ MATCHED = "session_id string, tool_name string, input string, after_pos bigint,
 
 def _match(key, batches, state):
     pending = json.loads(state.get[0]) if state.exists else []
-    for pdf in batches:
+    for pdf in [pd.concat(list(batches), ignore_index=True)]:
         out = []
         for row in pdf.sort_values("pos").itertuples(index=False):
             pending = [p for p in pending if p[1] >= row.at - V.PENDING_TTL_SECONDS]
             if row.stage == "before":
-                pending = (pending + [[int(row.pos), float(row.at)]])[-V.PENDING_PER_SESSION:]
+                pending.append([int(row.pos), float(row.at)])
             else:
                 out.append((*key, int(row.pos), pending.pop(0)[0] if pending else None))
         frame = pd.DataFrame(out, columns=["session_id", "tool_name", "input", "after_pos", "before_pos"])
@@ -153,10 +162,10 @@ def live_index(events: DataFrame, folder: str, checkpoint: str, every: str = "3
 
 
 def boundary_heads(events: DataFrame, folder: str, checkpoint: str):
-    """Record the head of each session whenever one of its boundaries passes."""
-    def batch(df: DataFrame, _epoch: int) -> None:
+    """Record the head of a session at every one of its boundaries; a retried micro-batch replaces its folder."""
+    def batch(df: DataFrame, epoch: int) -> None:
         edge = df.filter(F.col("phase").isin(V.BOUNDARY_PHASES))
-        edge.groupBy("session_id").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("head_hash")).write.mode("append").parquet(folder)
+        edge.select("session_id", "seq", F.col("hash").alias("head_hash")).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
