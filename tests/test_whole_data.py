@@ -125,3 +125,11 @@ def test_lines_and_listings_are_not_cut(spark):
     loose = spark.createDataFrame([("s", f"f{k}") for k in range(700)], "session_id string, value string")
     assert files.worktree_delta(empty, empty, loose).count() == 700
     assert {r["truncated"] for r in files.worktree_delta(empty, empty, loose, 500).collect()} == {True}
+
+
+def test_finding_keys_have_one_form_across_buckets(spark):
+    from vigilog.operators.actions import seq_digest
+    seqs = [10, 4095, 4097, 4095, 20_000]
+    rows = spark.createDataFrame([("f", s) for s in seqs], "k string, seq bigint")
+    assert seq_digest(rows, ["k"]).first().asDict() == {
+        "k": "f", "seq_count": 4, "first_seq": 10, "last_seq": 20_000, "seq_text": "[10,4095,4097,20000]"}

@@ -53,10 +53,10 @@ def shell_summary(command: Column) -> Column:
     """One line for a command without its own description."""
     found = steps(command)
     salient = F.coalesce(F.get(F.filter(found, lambda x: x["danger"]), F.lit(0)), F.get(found, F.lit(0)))
-    gist = F.concat(F.lit("un `"), salient["program"], F.lit("`"),
+    gist = F.concat(F.lit(" `"), salient["program"], F.lit("`"),
                     F.when(salient["arguments"], " with arguments").otherwise(""))
     return (
         F.when(F.size(found) == 0, "Ran a shell command.")
-        .when(F.size(found) == 1, F.concat(F.lit("R"), gist, F.lit(".")))
-        .otherwise(F.concat(F.lit("Ran a "), F.size(found).cast("string"), F.lit("-step shell command — r"), gist))
+        .when(F.size(found) == 1, F.concat(F.lit("Run"), gist, F.lit(".")))
+        .otherwise(F.concat(F.lit("Ran a "), F.size(found).cast("string"), F.lit("-step shell command — run"), gist))
     )

@@ -142,23 +142,22 @@ def finding_seqs(events: DataFrame, fired: DataFrame) -> DataFrame:
 
 
 def seq_digest(rows: DataFrame, keys: list[str], width: int = 4096) -> DataFrame:
-    """Count, range and digest of the distinct seqs of each key, and the sorted
-    list itself while it fits one bucket. Larger groups keep the digest only, so
-    no group is ever collected whole."""
+    """Count, range and list text of the distinct seqs of each key, in one form for all sizes.
+
+    The list is put together from sorted stretches of positions. A key names one finding, so its
+    rows are the events of a tool call or of a combo.
+    """
     inner = rows.groupBy(*keys, seq_bucket(F.col("seq"), width).alias("_b")).agg(
         F.array_sort(F.collect_set("seq")).alias("_seqs"))
     parts = inner.select(
-        *keys, "_seqs", F.size("_seqs").cast("bigint").alias("_n"), F.array_min("_seqs").alias("_lo"),
-        F.array_max("_seqs").alias("_hi"), F.xxhash64("_seqs").alias("_x"))
+        *keys, F.size("_seqs").cast("bigint").alias("_n"), F.array_min("_seqs").alias("_lo"),
+        F.array_max("_seqs").alias("_hi"), F.struct("_b", F.array_join(F.col("_seqs").cast("array<string>"), ",").alias("t")).alias("_part"))
     return parts.groupBy(*keys).agg(
         F.sum("_n").alias("seq_count"), F.min("_lo").alias("first_seq"), F.max("_hi").alias("last_seq"),
-        F.bit_xor("_x").alias("_digest"), F.count(F.lit(1)).alias("_buckets"), F.min("_seqs").alias("_only"),
+        F.array_sort(F.collect_list("_part")).alias("_parts"),
     ).select(
         *keys, "seq_count", "first_seq", "last_seq",
-        F.when(F.col("_buckets") == 1, F.col("_only")).alias("seqs"),
-        F.when(F.col("_buckets") == 1, F.concat(F.lit("["), F.array_join(F.col("_only").cast("array<string>"), ","), F.lit("]")))
-        .otherwise(F.concat(F.lit('"'), F.col("seq_count").cast("string"), F.lit(":"), F.hex("_digest"), F.lit('"')))
-        .alias("seq_text"),
+        F.concat(F.lit("["), F.array_join(F.transform("_parts", lambda p: p["t"]), ","), F.lit("]")).alias("seq_text"),
     )
 
 
