@@ -161,13 +161,18 @@ def live_index(events: DataFrame, folder: str, checkpoint: str, every: str = "3
     return rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 
 
-def boundary_heads(events: DataFrame, folder: str, checkpoint: str):
-    """Record the head of a session at every one of its boundaries; a retried micro-batch replaces its folder."""
+def write_boundaries(folder: str):
+    """A micro-batch writer of the head at every session boundary; a retried micro-batch replaces its folder."""
     def batch(df: DataFrame, epoch: int) -> None:
         edge = df.filter(F.col("phase").isin(V.BOUNDARY_PHASES))
         edge.select("session_id", "seq", F.col("hash").alias("head_hash")).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return batch
+
+
+def boundary_heads(events: DataFrame, folder: str, checkpoint: str):
+    """Record the head of a session at every one of its boundaries."""
+    return events.writeStream.foreachBatch(write_boundaries(folder)).option("checkpointLocation", checkpoint)
 
 
 def hourly(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
