@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vigilog.functions import fixed_values as V
 from vigilog.functions.lists import one_of
@@ -84,36 +84,44 @@ def paired_posts(events: DataFrame) -> DataFrame:
 def pair_actions(events: DataFrame, flags: DataFrame) -> DataFrame:
     """One row per action: a Pre with its Post folded in, or a standalone event.
 
-    `flags` is the output of split_flags for one ruleset. All joins are on
-    (session_id, seq), which is unique, so no session can skew them.
+    `flags` is the output of split_flags for one ruleset; it joins on (session_id,
+    seq), which is unique. Rows of one tool use then meet in one shuffle, where windows
+    give the call before and after each row and the group's outcome; rows without an
+    id have no group and pass by.
     """
     none = F.expr("array()").cast("array<string>")
-    posts = paired_posts(events)
-    risk = flags.select("session_id", "seq", "score", "signals", "notes")
-    post_risk = risk.select("session_id", F.col("seq").alias("post_seq"), F.col("score").alias("post_score"),
-                            F.col("signals").alias("post_signals"), F.col("notes").alias("post_notes"))
-    folded = posts.join(post_risk, ["session_id", "post_seq"], "left")
-    opened = with_outcome(events).join(
-        posts.select("session_id", F.col("post_seq").alias("seq")), KEY, "left_anti")
-    joined = (
-        opened.join(risk, KEY, "left")
-        .join(folded.withColumnRenamed("pre_seq", "seq"), KEY, "left")
-    )
-    paired = F.col("post_seq").isNotNull()
+    c = F.col
+    rows = events.join(flags.select("session_id", "seq", "score", "signals", "notes"), KEY, "left")
+    state = event_outcome(c("phase"), c("success"))
+    call = c("hook_event").isin(PRE, *POSTS)
+    told = F.when(call, F.struct("seq", "hook_event", "phase", "success", "duration_ms", "redaction_count", "score", "signals", "notes"))
+    group = W.partitionBy("session_id", "tool_use_id")
+    # Both look at rows already met, in either direction, so that a long group stays linear.
+    forwards, backwards = (group.orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in ("seq", F.desc("seq")))
+    seen = lambda cond: F.max(cond.cast("int")).over(group) == 1
+    won, lost, begun = seen(state == "succeeded"), seen(state == "failed"), seen(c("phase") == "pre")
+    tied = rows.filter(c("tool_use_id").isNotNull()).withColumns({
+        "_before": F.last(F.when(call, c("hook_event")), True).over(forwards), "_next": F.last(told, True).over(backwards),
+        "outcome": F.when(won & lost, "unknown").when(lost, "failed").when(won, "succeeded").when(begun, "attempted").otherwise("unknown")})
+    tied = tied.filter(~(c("hook_event").isin(POSTS) & (F.coalesce("_before", F.lit("")) == PRE)))
+    tied = tied.withColumn("_post", F.when((c("hook_event") == PRE) & c("_next.hook_event").isin(POSTS), c("_next"))).drop("_before", "_next")
+    alone = rows.filter(c("tool_use_id").isNull()).withColumn("outcome", state)
+    joined = tied.unionByName(alone, allowMissingColumns=True)
+    paired = c("_post").isNotNull()
     merged = lambda a, b: F.array_union(F.coalesce(a, none), F.coalesce(b, none))
     opens = (F.col("hook_event") == PRE) & F.col("tool_use_id").isNotNull()
     summary = action_summary(F.col("action_type"), F.col("target"), F.col("tool_name"), F.col("d.description"))
     return joined.select(
-        "session_id", "seq", "post_seq", "ts", "hook_event", F.col("action_type").alias("type"),
+        "session_id", "seq", c("_post.seq").alias("post_seq"), "ts", "hook_event", F.col("action_type").alias("type"),
         F.col("tool_name").alias("tool"), "target", "tool_use_id", "prompt_id", "agent_type", "source",
-        F.coalesce("post_phase", "phase").alias("phase"),
-        F.when(paired, F.col("post_success")).when(opens, None).otherwise(F.col("success")).alias("success"),
-        F.when(paired, F.col("post_duration")).when(opens, None).otherwise(F.col("duration_ms")).alias("duration_ms"),
+        F.coalesce("_post.phase", "phase").alias("phase"),
+        F.when(paired, c("_post.success")).when(opens, None).otherwise(F.col("success")).alias("success"),
+        F.when(paired, c("_post.duration_ms")).when(opens, None).otherwise(F.col("duration_ms")).alias("duration_ms"),
         "outcome", summary_for_outcome(summary, F.col("outcome")).alias("summary"),
-        (F.col("redaction_count") + F.coalesce("post_redactions", F.lit(0))).alias("redaction_count"),
-        F.greatest(F.coalesce("score", F.lit(0)), F.coalesce("post_score", F.lit(0))).alias("score"),
-        merged(F.col("signals"), F.col("post_signals")).alias("signals"),
-        merged(F.col("notes"), F.col("post_notes")).alias("notes"),
+        (F.col("redaction_count") + F.coalesce("_post.redaction_count", F.lit(0))).alias("redaction_count"),
+        F.greatest(F.coalesce("score", F.lit(0)), F.coalesce("_post.score", F.lit(0))).alias("score"),
+        merged(F.col("signals"), c("_post.signals")).alias("signals"),
+        merged(F.col("notes"), c("_post.notes")).alias("notes"),
     )
 
 
