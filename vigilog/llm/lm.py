@@ -53,6 +53,8 @@ HIDDEN = 24
 #: Truncated backpropagation: places in a window, documents side by side.
 STEPS, LANES = 16, 64
 ROUNDS, SLICES = 4, 32
+#: Tokens of texts that are scored side by side.
+ABREAST = 1_500_000
 RATE = 0.02
 
 _SHAPES = 3 * SUFFIXES
@@ -184,6 +186,16 @@ def lexicon(counts: DataFrame, ends: int) -> Lexicon:
     return book
 
 
+def log_sums(logits: np.ndarray, bound: float) -> np.ndarray:
+    """log of the sum of exp of each row, in place. States lie within -1 and 1, so `bound` on the logits shows that nothing can overflow."""
+    top = np.zeros(len(logits), logits.dtype)
+    if not bound < 80:
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return np.log(logits.sum(axis=1)) + top
+
+
 class Network:
     """A gated recurrent unit over symbols (0: end, then frequent words, then shapes) with a class-factored softmax."""
 
@@ -218,12 +230,18 @@ class Network:
         return np.concatenate([p.ravel() for p in self.parameters()])
 
     def step(self, symbols: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, v = self.x[symbols] + self.b, h @ self.u
+        a, v = self.x.take(symbols, axis=0), h @ self.u
+        a += self.b
         k = HIDDEN
         gates = a[:, :2 * k] + v[:, :2 * k]
-        gates = 0.5 * np.tanh(0.5 * gates) + 0.5
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
         z, r = gates[:, :k], gates[:, k:]
-        n = np.tanh(a[:, 2 * k:] + r * v[:, 2 * k:])
+        n = r * v[:, 2 * k:]
+        n += a[:, 2 * k:]
+        np.tanh(n, out=n)
         return n + z * (h - n), z, r, n, v[:, 2 * k:]
 
     def targets(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,18 +252,19 @@ class Network:
     def log_parts(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each symbol after its state."""
         classes, word = self.targets(symbols)
-        logits = h @ self.c + self.cb
-        top = logits.max(axis=1)
-        out = logits[np.arange(len(h)), classes] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        logits = h @ self.c
+        logits += self.cb
+        out = logits[np.arange(len(h)), classes] - log_sums(logits, (np.abs(self.c).sum(axis=0) + np.abs(self.cb)).max())
         order = np.argsort(np.where(word, classes, -1), kind="stable")
         bounds = np.searchsorted(np.where(word, classes, -1)[order], np.arange(len(self.book.members) + 1))
         for c, members in enumerate(self.book.members):
             rows = order[bounds[c]:bounds[c + 1]]
             if len(members) > 1 and len(rows):
-                inner = h[rows] @ self.o[members].T + self.ob[members]
-                top = inner.max(axis=1)
+                weights, bias = self.o[members], self.ob[members]
+                inner = h.take(rows, axis=0) @ weights.T
+                inner += bias
                 own = inner[np.arange(len(rows)), self.place[symbols[rows]]]
-                out[rows] += own - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
+                out[rows] += own - log_sums(inner, (np.abs(weights).sum(axis=1) + np.abs(bias)).max())
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -422,6 +441,13 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = shared.value
         own = mine.book
+        held: list[tuple[pd.DataFrame, list[np.ndarray]]] = []
+
+        def settled() -> pd.DataFrame:
+            frames = pd.concat([f for f, _ in held], ignore_index=True)
+            frames["part"] += mine.score([s for _, symbols in held for s in symbols])
+            return frames
+
         for frame in groups(batches):
             words, n = Words(texts_of(frame)), len(frame)
             symbols, shape, at, single = symbols_of(own, words, n)
@@ -430,12 +456,18 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             share = np.where(known & ~single, own.shares(shape, count), 0.0)
             base = np.where(known, own.base(count), 0.0)
             lengths = np.bincount(words.owner, minlength=n)
-            yield pd.DataFrame({
+            held.append((pd.DataFrame({
                 "doc_id": frame["doc_id"].array, "text_hash": frame["text_hash"].array, "held_out": frame["held_out"].array,
                 "n_tokens": lengths + 1, "n_known": np.bincount(words.owner, known, n).astype(np.int64) + (own.ends > 0),
                 "n_rare": lengths - np.bincount(words.owner, known, n).astype(np.int64),
                 "base": np.bincount(words.owner, base, n) + float(own.base(np.array(own.ends))),
-                "part": mine.score(symbols) + np.bincount(words.owner, share, n)})
+                "part": np.bincount(words.owner, share, n)}), [x.astype(np.int32) for x in symbols]))
+            # Many texts step side by side, so that the long ones do not step alone.
+            if sum(int(f["n_tokens"].sum()) for f, _ in held) > ABREAST:
+                yield settled()
+                held = []
+        if held:
+            yield settled()
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value.book

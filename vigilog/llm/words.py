@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 
 #: Characters of texts that are worked on together; a longer text is worked on alone.
-GROUP_CHARS = 2 << 20
+GROUP_CHARS = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
