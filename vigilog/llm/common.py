@@ -42,12 +42,10 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Hold Arrow batches of whole texts to a size that fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, ARROW_ROWS)
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= ARROW_BYTES:
-        spark.conf.set(key, ARROW_BYTES)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
