@@ -21,7 +21,10 @@ empty result. Only the named columns are read.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -150,32 +153,42 @@ def jaccard(a: frozenset, b: frozenset) -> float:
 
 
 def linked_members(sets: list[frozenset]) -> list[tuple[int, int]]:
-    """Links that tie together all members that hang together by similarity; a member is compared with a group until it links."""
-    groups: list[list[int]] = []
+    """Links that tie together all members that hang together by similarity.
+
+    Two similar sets share one of the rarest shingles of both, so a member meets only those that have one of its own
+    rarest; of these, members that already hang together with it are passed over.
+    """
+    if len(sets) == 2:
+        return [(0, 1)] if jaccard(*sets) >= SIMILARITY else []
+    count = Counter(chain.from_iterable(sets))
+    root = list(range(len(sets)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    by_shingle: dict[tuple, list[int]] = defaultdict(list)
     links = []
     for k, mine in enumerate(sets):
-        joined: list[int] = []
-        apart = []
-        for group in groups:
-            low = SIMILARITY * len(mine)
-            hit = next((g for g in group if low <= len(sets[g]) * (1 + 1e-9) and SIMILARITY * len(sets[g]) <= len(mine) * (1 + 1e-9)
-                        and jaccard(mine, sets[g]) >= SIMILARITY), None)
-            if hit is None:
-                apart.append(group)
-            else:
-                links.append((hit, k))
-                joined += group
-        groups = [*apart, [*joined, k]]
+        rare = sorted(mine, key=lambda s: (count[s], s))[:len(mine) - ceil(SIMILARITY * len(mine) - 1e-9) + 1]
+        for other in dict.fromkeys(chain.from_iterable(by_shingle[s] for s in rare)):
+            a, b = find(other), find(k)
+            if a != b and jaccard(mine, sets[other]) >= SIMILARITY:
+                links.append((other, k))
+                root[b] = a
+        for s in rare:
+            by_shingle[s].append(k)
     return links
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in whole_runs(batches, "key"):
+        keys, values, sets = frame["key"].to_numpy(), frame["value"].tolist(), [shingle_set(t) for t in frame["content"]]
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
         out = []
-        for _, run in frame.groupby("key", sort=False):
-            run = run.drop_duplicates("value")
-            values = run["value"].tolist()
-            out += [(values[a], values[b]) for a, b in linked_members([shingle_set(t) for t in run["content"]])]
+        for begin, end in zip(edges, edges[1:]):
+            out += [(values[begin + a], values[begin + b]) for a, b in linked_members(sets[begin:end])]
         if out:
             yield pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
 
@@ -218,8 +231,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
         "doc_id", "text_hash", "place", "start", "end", "n_words", F.coalesce("component", "hash").alias("class_id"))
     at = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("place"))
     first = each.groupBy("class_id").agg(F.min(at).alias("kept"), F.count("*").alias("n_copies")).where("n_copies > 1")
-    first = first.withColumnRenamed("class_id", "first_class")
-    marked = each.join(first, each["class_id"] == first["first_class"]).where(~at.eqNullSafe(F.col("kept")))
+    # Written, so that the join reads a table of its own and Spark can split its hot classes.
+    first = saved(first.withColumnRenamed("class_id", "first_class"), "passage-firsts")
+    marked = matched(each, first, each["class_id"] == first["first_class"], "inner").where(~at.eqNullSafe(F.col("kept")))
     marked = marked.select(*each.columns, F.col("kept.doc_id").alias("kept_doc_id"), "n_copies")
     marked = marked.dropDuplicates(["doc_id", "text_hash", "place"])
     in_text = Window.partitionBy("doc_id", "text_hash").orderBy("place")
