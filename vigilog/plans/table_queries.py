@@ -378,6 +378,14 @@ def attributed_updates(spark, sf_dir):
     return G.attribute_updates(*git_activity(spark, sf_dir)).select("id", "confidence", "session_id", "tool_use_id")
 
 
+@query("attribution_candidates", "D11", f"""
+    WITH e AS (SELECT *, round(epoch_us(ts - TIMESTAMP '2024-01-01') / 300e6, 3) AS sec, user_id % 5 AS repo FROM events)
+    SELECT DISTINCT u.event_id AS id, 'u' || e.user_id AS session_id FROM e u JOIN e ON u.event_type = 'signup' AND e.event_type <> 'signup'
+      AND e.repo = u.repo AND e.sec <= u.sec AND e.sec > u.sec - 15""")
+def attribution_candidates(spark, sf_dir):
+    return G.attribution_candidates(*git_activity(spark, sf_dir))
+
+
 # ---- reconciliation ---------------------------------------------------------
 
 CTES["work"] = """
