@@ -160,3 +160,24 @@ def test_passage_query_catches_shared_runs(spark, sf):
             holders[tuple(words[k:k + 80])].add(d)
     later = set().union(*[sorted(v)[1:] for v in holders.values() if len(v) > 1])
     assert later and later <= {r["doc_id"] for r in QUERIES["op4_repeated_passages"](spark, sf).collect()}
+
+
+def test_shared_runs_of_51_words_go_whole_wherever_they_stand(spark):
+    rng = random.Random(17)
+    words = lambda n: [f"v{rng.randrange(10 ** 7)}" for _ in range(n)]
+    runs = [words(51) for _ in range(20)] + [[w + '."' if k % 9 == 4 else w for k, w in enumerate(words(51))], [f"é{w}。" for w in words(51)]]
+    rows, left = [], {}
+    for k, run in enumerate(runs):
+        for doc in (k, 1000 + k):
+            head, tail = words(rng.randint(0, 40)), words(rng.randint(1, 40))
+            rows.append((doc, " ".join(head + run + tail), "en", "a"))
+            left[doc] = " ".join(head + tail if doc >= 1000 else head + run + tail)
+    again = words(60)
+    rows.append((2000, " ".join(again + ["between"] + again + ["after"]), "en", "a"))
+    left[2000] = " ".join(again + ["between", "after"])
+    rows.append((2001, "ha " * 200, "en", "a"))
+    left[2001] = "ha " * 50
+    docs = documents(spark, rows)
+    assert {r["doc_id"]: r["text"] for r in passages.removed(docs).collect()} == left
+    found = {r["doc_id"]: (r["n_words"], r["kept_doc_id"]) for r in passages.repeated(docs).collect()}
+    assert found == {1000 + k: (51, k) for k in range(len(runs))} | {2000: (60, 2000), 2001: (150, 2001)}

@@ -11,8 +11,13 @@ lowered; fewer words: the whole sequence), and links of 0.8 or more are joined
 to classes by connected components.
 
 Of each class the occurrence that is first by id stays; the others are marked.
-A run of marked paragraphs in a document is a repeated passage if it has
-MIN_WORDS words or more, so short common lines and sentences stay where they are.
+So is every stretch of RUN_WORDS words that stands at an earlier place already,
+wherever it starts and ends: of each such stretch the hash of its least
+ANCHOR_WORDS words is its anchor, so equal stretches have equal anchors, and only
+stretches whose anchor is met at two places are laid out and compared by their own
+hashes. A run of marked paragraphs and stretches in a document is a repeated
+passage if it has MIN_WORDS words or more, so short common lines and sentences stay
+where they are.
 
 Null and empty texts have no paragraphs. Rows with equal id and text count as
 one document. Null ids sort first and are matched as equal. An empty table gives an
@@ -28,7 +33,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.llm.common import fresh, matched, saved, small_batches
@@ -42,6 +47,9 @@ BANDS, ROWS = 6, 2
 #: Least words of a paragraph, and of a run of repeated ones.
 LEAST_WORDS = 4
 MIN_WORDS = 20
+#: Words of a stretch that is found wherever it starts and ends, and of the anchors in it.
+RUN_WORDS = 50
+ANCHOR_WORDS = 25
 
 _SEEN = 400_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,6 +86,7 @@ class Paragraphs:
         self.text = owner[self.first]
         opens = np.concatenate([[0], np.flatnonzero(np.diff(self.text)) + 1])
         self.place = np.arange(self.n) - np.repeat(opens, np.diff(np.append(opens, self.n)))
+        self.word = self.first - np.repeat(self.first[opens], np.diff(np.append(opens, self.n)))
         # Characters: bytes that do not continue one; surrogates stand for one as well.
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         base = chars[np.concatenate([[0], text_ends[:-1]])][self.text]
@@ -113,7 +122,47 @@ class Paragraphs:
         return np.concatenate(keys), np.tile(self.hash[one], BANDS)
 
 
-_OCCURRENCE = "doc_id long, text_hash long, place int, start long, end long, n_words int, hash long"
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each stretch of `size` words, by its first word."""
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    sums, have, power = words, 1, np.array([_Q])
+    while have * 2 <= size:
+        sums = sums[:-have] + sums[have:] * power
+        power, have = power * power, have * 2
+    # Two stretches that overlap or touch are the whole one.
+    return mix(sums[:n] * _P + mix(sums[size - have:size - have + n]))
+
+
+class Stretches:
+    """The stretches of RUN_WORDS words inside each of some texts: first word, content hash, anchor."""
+
+    def __init__(self, found: Words):
+        n = found.n - RUN_WORDS + 1
+        self.first = np.zeros(0, np.int64)
+        self.owner, self.hash, self.anchor, self.anchors = self.first, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if n < 1:
+            return
+        inside = found.owner[:n] == found.owner[RUN_WORDS - 1:]
+        self.first = np.flatnonzero(inside)
+        self.owner = found.owner[self.first]
+        self.hash = window_hashes(found.hash, RUN_WORDS)[self.first]
+        self.values = window_hashes(found.hash, ANCHOR_WORDS)
+        span, least, have = RUN_WORDS - ANCHOR_WORDS + 1, self.values, 1
+        while have * 2 <= span:
+            least, have = np.minimum(least[:-have], least[have:]), have * 2
+        least = np.minimum(least[:n], least[span - have:span - have + n])
+        self.anchor = least[self.first]
+        # Places of anchors, each once however many stretches it serves.
+        at = np.zeros(len(self.values), bool)
+        for k in range(span):
+            at[k:k + n] |= inside & (least == self.values[k:k + n])
+        self.anchors = np.flatnonzero(at)
+
+
+_OCCURRENCE = "doc_id long, text_hash long, place int, word long, start long, end long, n_words int, hash long"
+_STRETCH = "doc_id long, text_hash long, times int, word int, start int, end int, hash long"
 
 
 def _occurrence_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +171,7 @@ def _occurrence_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if p.n:
             yield pd.DataFrame({
                 "doc_id": frame["doc_id"].array[p.text], "text_hash": frame["text_hash"].to_numpy()[p.text],
-                "place": p.place.astype(np.int32), "start": p.start, "end": p.end, "n_words": p.n_words.astype(np.int32),
+                "place": p.place.astype(np.int32), "word": p.word, "start": p.start, "end": p.end, "n_words": p.n_words.astype(np.int32),
                 "hash": p.hash.view(np.int64)})
 
 
@@ -141,6 +190,42 @@ def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": keys[new].view(np.int64), "value": values[new].view(np.int64)})
 
 
+def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in groups(batches):
+        found = Words(texts_of(frame))
+        s = Stretches(found)
+        if len(s.anchors):
+            rows = pd.DataFrame({"text": found.owner[s.anchors], "value": s.values[s.anchors].view(np.int64)})
+            rows = rows.groupby(["text", "value"], sort=False).size().reset_index(name="n")
+            at = rows["text"].to_numpy()
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array[at], "text_hash": frame["text_hash"].to_numpy()[at],
+                                "value": rows["value"], "n": rows["n"].astype(np.int32)})
+
+
+def _stretch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in groups(batches):
+        found = Words(texts_of(frame))
+        s = Stretches(found)
+        edges = np.searchsorted(s.owner, np.arange(len(frame) + 1))
+        wanted = np.zeros(len(s.first), bool)
+        for k, values in enumerate(frame["anchors"]):
+            part = slice(edges[k], edges[k + 1])
+            wanted[part] = np.isin(s.anchor[part], np.asarray(values, np.int64).view(np.uint64))
+        first, owner = s.first[wanted], s.owner[wanted]
+        if not len(first):
+            continue
+        chars = np.concatenate([[0], np.cumsum((found.data & 0xC0) != 0x80)])
+        base = chars[np.concatenate([[0], found.text_ends[:-1]])][owner]
+        after = first + RUN_WORDS
+        last = np.append(found.owner, -1)[after] != owner
+        end = np.where(last, chars[found.text_ends - 1][owner], chars[np.append(found.starts, 0)[after]])
+        yield pd.DataFrame({
+            "doc_id": frame["doc_id"].array[owner], "text_hash": frame["text_hash"].to_numpy()[owner],
+            "times": frame["times"].to_numpy()[owner], "word": (first - np.searchsorted(found.owner, owner)).astype(np.int32),
+            "start": (chars[found.starts[first]] - base).astype(np.int32), "end": (end - base).astype(np.int32),
+            "hash": s.hash[wanted].view(np.int64)})
+
+
 def shingle_set(text: str) -> frozenset:
     """Five-word shingles of a paragraph, or its whole sequence of words if it has fewer."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -219,28 +304,61 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     return places, components(together.mapInPandas(_verified, "a long, b long"))
 
 
+def stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Saved stretches of RUN_WORDS words whose anchors stand at two places or more, and how many documents have their text.
+
+    Of equal texts only the first is laid out: all paragraphs of the others are marked as they are.
+    """
+    named = _named(docs, doc_id, text)
+    equal = named.groupBy("text_hash").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("times"))
+    equal = saved(equal.where("n > 1").select(F.col("text_hash").alias("equal_hash"), "first", F.col("times").cast("int").alias("times")), "stretch-equal")
+    named = matched(named, equal, named["text_hash"] == equal["equal_hash"], "left").where(F.col("equal_hash").isNull() | F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    named = named.select("doc_id", "text_hash", "text", F.greatest(F.lit(1), F.coalesce("times", F.lit(1))).alias("times"))
+    anchors = saved(named.mapInPandas(_anchor_rows, "doc_id long, text_hash long, value long, n int"), "stretch-anchors")
+    often = saved(anchors.groupBy("value").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("value").alias("often")), "stretch-shared")
+    by_text = matched(anchors, often, anchors["value"] == often["often"], "inner").groupBy("doc_id", "text_hash").agg(F.collect_set("value").alias("anchors"))
+    by_text = saved(by_text.withColumnsRenamed({"doc_id": "in_doc", "text_hash": "in_text"}), "stretch-texts")
+    here = named["doc_id"].eqNullSafe(by_text["in_doc"]) & (named["text_hash"] == by_text["in_text"])
+    # Lists of anchors are not narrow rows, so this join is never broadcast by count.
+    wanted = named.join(by_text, here).select("doc_id", "text_hash", "text", "times", "anchors")
+    return saved(wanted.mapInPandas(_stretch_rows, _STRETCH), "stretches")
+
+
+_MARKED = ["doc_id", "text_hash", "word", "start", "end", "n_words", "class_id", "kept_doc_id", "n_copies"]
+
+
+def _later(each: DataFrame, key: str, place: str, name: str, size: int = 1, times: Column | None = None) -> DataFrame:
+    """The rows of `each` that do not overlap the first of their `key`, `size` places long, once each, with the first's id and the number of rows."""
+    at = F.struct(F.col("doc_id"), F.col("text_hash"), F.col(place))
+    first = each.groupBy(key).agg(F.min(at).alias("kept"), F.count("*").alias("n"), F.sum(F.lit(1) if times is None else times).alias("n_copies")).where("n > 1").drop("n")
+    # Written, so that the join reads a table of its own and Spark can split its hot classes.
+    first = saved(first.withColumnRenamed(key, "first_class"), name)
+    later = matched(each, first, each[key] == first["first_class"], "inner")
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
+    later = later.where(~same | (F.col(place) >= F.col(f"kept.{place}") + size))
+    return later.select(*each.columns, F.col("kept.doc_id").alias("kept_doc_id"), "n_copies").dropDuplicates(["doc_id", "text_hash", place])
+
+
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage that is to go.
 
     `doc_id`, `text_hash`, `start` and `end` (characters, end excluded), `n_words`, `n_paragraphs`, `kept_doc_id` (smallest id that
-    keeps a copy of a part of it), `class_id` (of its first paragraph), `n_copies` (most occurrences of a part).
+    keeps a copy of a part of it), `class_id` (of its first paragraph or stretch), `n_copies` (most occurrences of a part).
     """
     places, roots = classes(docs, doc_id, text)
     roots = saved(roots.withColumnsRenamed({"node": "of_hash"}), "paragraph-classes")
     each = matched(places, roots, places["hash"] == roots["of_hash"], "left").select(
-        "doc_id", "text_hash", "place", "start", "end", "n_words", F.coalesce("component", "hash").alias("class_id"))
-    at = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("place"))
-    first = each.groupBy("class_id").agg(F.min(at).alias("kept"), F.count("*").alias("n_copies")).where("n_copies > 1")
-    # Written, so that the join reads a table of its own and Spark can split its hot classes.
-    first = saved(first.withColumnRenamed("class_id", "first_class"), "passage-firsts")
-    marked = matched(each, first, each["class_id"] == first["first_class"], "inner").where(~at.eqNullSafe(F.col("kept")))
-    marked = marked.select(*each.columns, F.col("kept.doc_id").alias("kept_doc_id"), "n_copies")
-    marked = marked.dropDuplicates(["doc_id", "text_hash", "place"])
-    in_text = Window.partitionBy("doc_id", "text_hash").orderBy("place")
-    runs = marked.withColumn("run", F.col("place") - F.row_number().over(in_text))
+        "doc_id", "text_hash", "place", "word", "start", "end", "n_words", F.coalesce("component", "hash").alias("class_id"))
+    marked = _later(each, "class_id", "place", "passage-firsts").select(*_MARKED, F.lit(1).alias("paragraph"))
+    again = _later(stretches(docs, doc_id, text).withColumn("n_words", F.lit(RUN_WORDS)).withColumnRenamed("hash", "class_id"), "class_id", "word", "stretch-firsts", RUN_WORDS, F.col("times"))
+    marked = marked.unionAll(again.select(*_MARKED, F.lit(0).alias("paragraph"))).withColumn("stop", F.col("word") + F.col("n_words"))
+    in_text = Window.partitionBy("doc_id", "text_hash").orderBy("word", "stop", "paragraph")
+    reached = F.max("stop").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    runs = marked.withColumn("opens", F.coalesce(F.col("word") > reached, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("opens").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
     found = runs.groupBy("doc_id", "text_hash", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_paragraphs"),
-        F.min("kept_doc_id").alias("kept_doc_id"), F.min_by("class_id", "place").alias("class_id"), F.max("n_copies").alias("n_copies"))
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("stop") - F.min("word")).alias("n_words"), F.sum("paragraph").alias("n_paragraphs"),
+        F.min("kept_doc_id").alias("kept_doc_id"), F.min_by("class_id", F.struct("word", "stop", "paragraph")).alias("class_id"), F.max("n_copies").alias("n_copies"))
     return found.where(F.col("n_words") >= min_words).drop("run")
 
 
