@@ -106,3 +106,20 @@ def test_live_lines_and_tables(spark, tmp_path):
 def test_unknown_ruleset_is_an_error():
     with pytest.raises(ValueError):
         scoring.check_rulesets(["r9"])
+
+
+def test_first_facts_are_kept_for_good_and_late_ones_count(spark, tmp_path):
+    from vigilog.streaming.live import first_facts
+    folder = f"{tmp_path}/facts"
+    batches = [[("a", "x", "2024-01-05 00:00:00")], [("a", "x", "2024-01-09 00:00:00"), ("b", "x", "2024-01-09 00:00:00")],
+               [("a", "x", "2024-01-20 00:00:00"), ("c", "y", "2024-01-01 00:00:00")], [("c", "y", "2024-01-01 00:00:00"), ("a", "x", "2024-01-01 00:00:00")]]
+    schema = "session_id string, event_type string, at timestamp"
+    out = []
+    for rows in batches:
+        df = spark.createDataFrame(rows, "session_id string, event_type string, at string").selectExpr("session_id", "event_type", "cast(at as timestamp) at")
+        df.coalesce(1).write.mode("append").parquet(folder)
+        stream = first_facts(spark.readStream.schema(schema).parquet(folder), ["session_id", "event_type"])
+        q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/marks").trigger(availableNow=True).start()
+        q.awaitTermination()
+        out = sorted((r["session_id"], r["event_type"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert out == [("a", "x"), ("b", "x"), ("c", "y")]

@@ -192,7 +192,7 @@ def live_token_index(spark, sf_dir):
 def live_first_facts(spark, sf_dir):
     """One fact per session and kind, however often and late it arrives."""
     from vigilog.streaming.live import first_facts
-    rows = B.table(spark, sf_dir, "events").select(text("u", c("user_id")).alias("session_id"), "event_type", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
+    rows = B.table(spark, sf_dir, "events").select(text("u", c("user_id")).alias("session_id"), "event_type", c("ts").alias("at"))
     return streamed(rows, lambda s, sink: first_facts(s, ["session_id", "event_type"]).select("session_id", "event_type").writeStream.format("parquet").option("path", sink), "facts")
 
 

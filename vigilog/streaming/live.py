@@ -151,8 +151,9 @@ def live_attribution(updates: DataFrame, events: DataFrame, seconds: int = V.COR
     return u.join(e, near, "inner").select("u.id", F.col("u.at").alias("at"), "e.session_id")
 
 
-def first_facts(rows: DataFrame, keys: list[str], lateness: str = "1 hour") -> DataFrame:
-    return rows.withWatermark("at", lateness).dropDuplicatesWithinWatermark(keys)
+def first_facts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key for good: without a watermark no key is forgotten and no late row is dropped; the state grows with the keys."""
+    return rows.dropDuplicates(keys)
 
 
 def live_index(events: DataFrame, folder: str, checkpoint: str, every: str = "3 seconds"):
