@@ -180,3 +180,12 @@ def test_word_arrays_match_words(spark, sf):
     plain = [w for t in texts for w in (t or "").encode().lower().split()]
     assert [bytes(words.data[a:b]) for a, b in zip(words.starts, words.ends)] == plain
     assert len(set(words.hash.tolist())) == len(set(plain)) and len({(h, w) for h, w in zip(words.hash.tolist(), plain)}) == len(set(plain))
+
+
+def test_every_training_document_is_learned_from_once(spark):
+    from pyspark.sql import functions as F
+
+    from vigilog.llm import lm
+    docs = spark.range(200).select(F.concat(F.lit("text "), "id").alias("text"), (F.col("id") % 7 == 2).alias("held_out")).withColumn("text_hash", F.xxhash64("text"))
+    met = [r["text"] for k in range(lm.ROUNDS) for r in lm.round_texts(docs, k).collect()]
+    assert sorted(met) == sorted(f"text {k}" for k in range(200) if k % 7 != 2)

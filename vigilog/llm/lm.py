@@ -17,8 +17,8 @@ them, the most frequent, are sent to the executors.
 The network starts from the counts (its biases give each class and word its
 frequency) and is trained by truncated backpropagation in ROUNDS rounds. In a
 round every task trains its own copy on a slice of its training documents, one in
-SLICES by a hash of their text and another slice each round, and the copies are
-averaged, weighted by their tokens. The work thus grows with the table, and the tasks
+SLICES by a hash of their text and another slice each round, so that the rounds
+together meet every training document; the copies are averaged, weighted by their tokens. The work thus grows with the table, and the tasks
 never wait for one another within a round.
 
 Null and empty texts are the end alone. A null id counts as empty text in the
@@ -52,7 +52,7 @@ CLASS_WORDS, CLASSES = 64, 48
 HIDDEN = 24
 #: Truncated backpropagation: places in a window, documents side by side.
 STEPS, LANES = 16, 64
-ROUNDS, SLICES = 4, 32
+ROUNDS = SLICES = 4
 #: Tokens of texts that are scored side by side.
 ABREAST = 1_500_000
 RATE = 0.02
@@ -389,6 +389,11 @@ def symbols_of(book: Lexicon, words: Words, texts: int) -> tuple[list[np.ndarray
     return [np.append(symbol[cuts[k]:cuts[k + 1]], 0) for k in range(texts)], shape, at, own > 0
 
 
+def round_texts(docs: DataFrame, k: int, slices: int = SLICES) -> DataFrame:
+    """`text` of the training documents that round `k` learns from."""
+    return docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("text_hash"), F.lit(slices)) == k % slices)).select("text")
+
+
 def trained(docs: DataFrame, book: Lexicon, rounds: int = ROUNDS, slices: int = SLICES) -> Network:
     """Rounds of local training on slices of the training documents of `docs` (`text`, `text_hash`, `held_out`) and averaging."""
     spark, parts = docs.sparkSession, 16
@@ -415,8 +420,7 @@ def trained(docs: DataFrame, book: Lexicon, rounds: int = ROUNDS, slices: int =
 
         size = [len(c) for c in np.array_split(network.flat(), parts)]
         schema = "part int, share int, tokens double, sums binary"
-        slice_of = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("text_hash"), F.lit(slices)) == k % slices)).select("text")
-        copies = slice_of.mapInPandas(learn, schema)
+        copies = round_texts(docs, k, slices).mapInPandas(learn, schema)
         # Copies are summed by groups first, so that no task holds a part of all of them.
         sums = copies.groupBy("part", "share").applyInPandas(total, schema).groupBy("part").applyInPandas(total, schema)
         rows = sorted(sums.collect(), key=lambda r: r["part"])
