@@ -14,4 +14,4 @@ def test_query_matches_sql(spark, sf, con, name):
 
 
 def test_one_query_of_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
