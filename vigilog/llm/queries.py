@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import html_text, lm, mixing, packing, passages, quality, simhash, topk, toxicity, urls
+from vigilog.llm import html_text, lm, mixing, packing, passages, quality, simhash, topk, toxicity, urls, whitening
 from vigilog.llm.checks import CHECKS
 from vigilog.llm.common import small_batches, table
 
@@ -80,3 +80,8 @@ def op9_convolution_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_recurrent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
