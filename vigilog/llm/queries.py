@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import html_text, lm, mixing, packing, passages, quality, simhash, topk, toxicity, urls, whitening
+from vigilog.llm import html_text, lm, mixing, packing, passages, periodic, quality, simhash, topk, toxicity, urls, whitening
 from vigilog.llm.checks import CHECKS
 from vigilog.llm.common import small_batches, table
 
@@ -85,3 +85,15 @@ def op2_recurrent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic(table(spark, sf_dir, "documents"), rewrite=periodic.restarted)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.when(F.size(line) > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    top = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[top[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(F.lit(1000) * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
