@@ -36,7 +36,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for durable data; a local one only where unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -52,7 +52,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for loops whose plan would grow with every round."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(_shared_folder(df.sparkSession))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -63,6 +63,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executors and keep column pruning and pushed filters for every reader.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
