@@ -12,7 +12,7 @@ from vigilog.plans import table_queries  # noqa: F401  defines the token blocks
 from vigilog.plans.oracle import CTES
 from vigilog.plans.registry import query
 from vigilog.plans.source_queries import transcript_lines
-from vigilog.session import _shared_folder
+from vigilog.session import shared_folder
 from vigilog.sources import files as R
 from vigilog.sources import hooks as H
 from vigilog.sources import tables as T
@@ -21,7 +21,7 @@ c = F.col
 
 
 def folder(spark, name: str) -> str:
-    return f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def text(*parts) -> F.Column:
