@@ -90,4 +90,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-CHECKS = {"op10_norm_sorted_top_k": _OP10, "op5_url_filters": _OP5, "op6_quality_ledger": _OP6, "op8_source_mix": _OP8}
+#: op13: SHA-1 by the engine's hexadecimal form, five bits a digit; equal payloads by their bytes.
+_OP13 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+f AS (SELECT body, min(page_id) AS first_id, count(*) AS n FROM p GROUP BY body),
+d AS (
+  SELECT p.page_id, octet_length(encode(p.body)) AS payload_bytes, sha1(p.body) AS hex, first_id
+  FROM p JOIN f USING (body)),
+b AS (SELECT *, string_agg_bits FROM (
+  SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || hex[i])::INT), 4, '0')), 'string_agg', '') AS string_agg_bits FROM d))
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    list_reduce(list_transform(range(1, 6), lambda j: substr(string_agg_bits, 5 * k + j, 1)::INT), lambda x, y: 2 * x + y)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM b
+"""
+
+CHECKS = {"op10_norm_sorted_top_k": _OP10, "op13_warc_transactions": _OP13, "op5_url_filters": _OP5, "op6_quality_ledger": _OP6, "op8_source_mix": _OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilog.llm import html_text, lm, mixing, packing, passages, periodic, quality, simhash, topk, toxicity, urls, whitening
+from vigilog.llm import html_text, lm, mixing, packing, passages, periodic, quality, simhash, topk, toxicity, urls, warc, whitening
 from vigilog.llm.checks import CHECKS
 from vigilog.llm.common import small_batches, table
 
@@ -97,3 +97,8 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), *[top[c].alias(c) for c in ("start", "length", "period")],
         F.floor(F.lit(1000) * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
