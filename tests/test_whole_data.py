@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from vigilog.functions import fixed_values as V
+from vigilog.functions import hashing
 from vigilog.functions.predicates import rm_is_catastrophic
 from vigilog.functions.redaction import redact_text
 from vigilog.operators import graph, report, search
@@ -35,7 +36,7 @@ def test_payload_texts_are_redacted_and_kept_whole(spark):
 
 def test_canonical_json_leaves_null_fields_out(spark):
     cases = {'{"a":1,"b":null}': '{"a":1}', '{"a":null,"b":null}': "{}", '{"a":[null,{"x":null}],"s":"k\\":null,"}': '{"a":[null,{}],"s":"k\\":null,"}', '{"a\\"b":null,"c":{"d":null,"e":"\\\\"}}': '{"c":{"e":"\\\\"}}'}
-    df = spark.createDataFrame([(k,) for k in cases], "v string").select(hooks.without_nulls(F.to_json(F.parse_json("v"))).alias("j"))
+    df = spark.createDataFrame([(k,) for k in cases], "v string").select(hashing.without_nulls(F.to_json(F.parse_json("v"))).alias("j"))
     assert [r["j"] for r in df.collect()] == list(cases.values())
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilog.functions.hashing import canonical_json, sha256_text
@@ -16,32 +20,41 @@ def with_row_hash(rows: DataFrame, columns: list[str], name: str = "row_hash") -
     return rows.withColumn(name, sha256_text(canonical_json(columns)))
 
 
-def build_chain(events: DataFrame, content: Column) -> DataFrame:
+def segment_of(seq: Column) -> Column:
+    return F.floor((seq - 1) / SEGMENT).cast("bigint")
+
+
+def build_chain(events: DataFrame, content: Column, heads: DataFrame | None = None) -> DataFrame:
     """Chain every session in fixed segments of its positions.
 
     Inside a segment each row hashes its content and the hash before it; a
     segment starts from a hash of its own name. Segments are independent, so a
-    session of any size is chained in parallel and no task holds more than
-    SEGMENT rows. session_heads ties the segments of a session together.
+    session of any size is chained in parallel, and a task streams over sorted rows and
+    holds one hash. session_heads ties the segments of a session together.
+    `heads` (session_id, last_seq, last_hash) are the ends of what is chained already: rows that go
+    on in an open segment start from its last hash, so a chain extended batch by batch is the chain built at once.
     """
-    segment = F.floor((F.col("seq") - 1) / SEGMENT).cast("bigint")
-    rows = events.select("session_id", "seq", segment.alias("segment"), content.alias("content"))
+    rows = events.select("session_id", "seq", segment_of(F.col("seq")).alias("segment"), content.alias("content"))
     start = sha256_text(F.concat_ws("|", F.lit("segment"), "session_id", F.col("segment").cast("string")))
-    folded = rows.groupBy("session_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("rows"))
-    empty = F.expr("array()").cast("array<struct<seq:bigint,prev_hash:string,hash:string>>")
-
-    def link(acc: Column, row: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1))["hash"], F.col("start"))
-        return F.concat(acc, F.array(F.struct(
-            row["seq"].alias("seq"), prev.alias("prev_hash"),
-            sha256_text(F.concat_ws("|", prev, row["content"])).alias("hash"))))
-
-    return (
-        folded.withColumn("start", start)
-        .select("session_id", "segment", F.explode(F.aggregate("rows", empty, link)).alias("c"))
-        .select("session_id", "segment", "c.*")
-    )
+    if heads is not None:
+        rows = rows.join(heads.select("session_id", "last_seq", "last_hash"), "session_id", "left")
+        start = F.when(segment_of(F.col("last_seq")) == F.col("segment"), F.col("last_hash")).otherwise(start)
+    rows = rows.select("session_id", "segment", "seq", start.alias("start"), "content")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, prev = None, ""
+        for batch in batches:
+            before, after = [], []
+            for session, segment, first, text in zip(batch["session_id"], batch["segment"], batch["start"], batch["content"]):
+                if (session, segment) != now:
+                    now, prev = (session, segment), first
+                before.append(prev)
+                prev = V.HASH_PREFIX + hashlib.sha256(f"{prev}|{text}".encode("utf-8", "surrogatepass")).hexdigest()
+                after.append(prev)
+            yield batch[["session_id", "segment", "seq"]].assign(prev_hash=before, hash=after)
+
+    dealt = rows.repartition("session_id", "segment").sortWithinPartitions("session_id", "segment", "seq")
+    return dealt.mapInPandas(link, "session_id string, segment bigint, seq bigint, prev_hash string, hash string")
 
 
 def session_heads(chain: DataFrame) -> DataFrame:

@@ -298,13 +298,13 @@ def _big_counts(text: str) -> str:
     return out + text[at:]
 
 
-def sql(body: str) -> str:
-    """A runnable query: the named blocks `body` reads, then `body`."""
-    order: list[str] = []
-    _needed(body, CTES, order)
+def sql(body: str, blocks: dict[str, str] | None = None) -> str:
+    """A runnable query: the named blocks `body` reads (of those given, else the common ones), then `body`."""
+    known, order = CTES | (blocks or {}), []
+    _needed(body, known, order)
     if not order:
         return _big_counts(body.strip())
-    blocks = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
+    blocks = ",\n".join(f"{n} AS MATERIALIZED ({known[n]})" for n in order)
     body = body.strip()
     if body.startswith("WITH RECURSIVE"):
         return _big_counts(f"WITH RECURSIVE {blocks},\n{body[len('WITH RECURSIVE'):]}")

@@ -20,11 +20,11 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, rows: str, check: str | None = None):
-    """Register a query: `rows` names the inventory rows it covers."""
+def query(name: str, rows: str, check: str | None = None, blocks: dict[str, str] | None = None):
+    """Register a query: `rows` names the inventory rows it covers, `blocks` the parts of its SQL that differ from the common ones."""
     def add(build):
         if name in QUERIES:
             raise ValueError(name)
-        QUERIES[name] = Query(build, None if check is None else sql(check), rows)
+        QUERIES[name] = Query(build, None if check is None else sql(check, blocks), rows)
         return build
     return add
