@@ -51,11 +51,11 @@ SUFFIXES = 16
 CLASS_WORDS, CLASSES = 64, 48
 HIDDEN = 24
 #: Truncated backpropagation: places in a window, documents side by side.
-STEPS, LANES = 16, 64
+STEPS, LANES = 16, 512
 ROUNDS = SLICES = 4
 #: Tokens of texts that are scored side by side.
 ABREAST = 1_500_000
-RATE = 0.02
+RATE = 0.06
 
 _SHAPES = 3 * SUFFIXES
 _MARKS = np.zeros(256, np.int64)
@@ -63,6 +63,7 @@ _MARKS[[ord(c) for c in ",;:"]] = 1
 _MARKS[[ord(c) for c in ".!?"]] = 2
 _LN10 = math.log(10)
 _KEPT = 1_000_000
+_TILE = 1024
 
 
 def shapes(words: Words) -> np.ndarray:
@@ -196,6 +197,14 @@ def log_sums(logits: np.ndarray, bound: float) -> np.ndarray:
     return np.log(logits.sum(axis=1)) + top
 
 
+def _exp(logits: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row, in place, up to a factor of its own, and its sum; `bound` as above."""
+    if not bound < 80:
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits, logits.sum(axis=1)
+
+
 class Network:
     """A gated recurrent unit over symbols (0: end, then frequent words, then shapes) with a class-factored softmax."""
 
@@ -212,10 +221,12 @@ class Network:
         self.o = rng.normal(0, 0.05, (self.words, h)).astype(np.float32)
         mass = np.concatenate([[book.weight[m].sum() for m in book.members], book.shape_sum]) + 0.5
         self.cb = np.log(mass / mass.sum()).astype(np.float32)
-        self.ob = np.log(book.weight + 0.5).astype(np.float32)
-        self.place = np.zeros(self.words, np.int64)
-        for m in book.members:
-            self.place[m] = np.arange(len(m))
+        # Rows of `o` stand class by class, so that a class is a slice of them.
+        by_class = np.concatenate(book.members) if book.members else np.zeros(0, np.int64)
+        self.ob = np.log(book.weight[by_class] + 0.5).astype(np.float32)
+        self.slot = np.zeros(self.words, np.int64)
+        self.slot[by_class] = np.arange(self.words)
+        self.begin = np.cumsum([0, *map(len, book.members)])
 
     def parameters(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
@@ -252,21 +263,31 @@ class Network:
     def log_parts(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each symbol after its state."""
         classes, word = self.targets(symbols)
-        logits = h @ self.c
-        logits += self.cb
-        out = logits[np.arange(len(h)), classes] - log_sums(logits, (np.abs(self.c).sum(axis=0) + np.abs(self.cb)).max())
-        order = np.argsort(np.where(word, classes, -1), kind="stable")
-        bounds = np.searchsorted(np.where(word, classes, -1)[order], np.arange(len(self.book.members) + 1))
-        for c, members in enumerate(self.book.members):
-            rows = order[bounds[c]:bounds[c + 1]]
-            if len(members) > 1 and len(rows):
-                weights, bias = self.o[members], self.ob[members]
-                inner = h.take(rows, axis=0) @ weights.T
-                inner += bias
-                own = inner[np.arange(len(rows)), self.place[symbols[rows]]]
-                out[rows] += own - log_sums(inner, (np.abs(weights).sum(axis=1) + np.abs(bias)).max())
+        out, bound = np.empty(len(h), np.float32), (np.abs(self.c).sum(axis=0) + np.abs(self.cb)).max()
+        for k0 in range(0, len(h), _TILE):
+            tile = slice(k0, k0 + _TILE)
+            logits = h[tile] @ self.c
+            logits += self.cb
+            own = logits[np.arange(len(logits)), classes[tile]]
+            out[tile] = own - log_sums(logits, bound)
+        rows, cuts = self._by_class(classes, word)
+        mine, slots, added = h.take(rows, axis=0), self.slot[symbols[rows]], np.empty(len(rows), np.float32)
+        for c, begin, end in cuts:
+            own, part = slice(self.begin[c], self.begin[c + 1]), slice(begin, end)
+            inner = mine[part] @ self.o[own].T
+            inner += self.ob[own]
+            wanted = inner[np.arange(end - begin), slots[part] - self.begin[c]]
+            added[part] = wanted - log_sums(inner, (np.abs(self.o[own]).sum(axis=1) + np.abs(self.ob[own])).max())
+        out[rows] += added
         return out
 
+    def _by_class(self, classes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The places of frequent words, class by class, and each class with its part of them; a class of one word has nothing left to predict."""
+        at = np.flatnonzero(word & (np.diff(self.begin, append=0) > 1)[np.where(word, classes, 0)])
+        at = at[np.argsort(classes[at].astype(np.int16), kind="stable")]
+        bounds = np.searchsorted(classes[at], np.arange(len(self.book.members) + 1)).tolist()
+        return at, [(c, a, b) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 of the network's part of each text of symbols, its end included; all texts step side by side."""
         order = np.argsort([-len(t) for t in texts], kind="stable")
@@ -323,54 +344,86 @@ class Network:
 
     def _window(self, symbols, previous, fresh, real, h, rate, squares) -> np.ndarray:
         k, steps = HIDDEN, symbols.shape[1]
-        trace = []
+        heard = previous.T.ravel()
+        inputs = (self.x.take(heard, axis=0) + self.b).reshape(steps, LANES, 3 * k)
+        before, after, gates, news, mixed = (np.empty((steps, LANES, n), np.float32) for n in (k, k, 2 * k, k, k))
         for t in range(steps):
-            before = np.where(fresh[:, t, None], np.float32(0), h)
-            h, z, r, n, v = self.step(previous[:, t], before)
-            trace.append((before, z, r, n, v, h))
+            np.copyto(before[t], h)
+            before[t][fresh[:, t]] = 0
+            v = before[t] @ self.u
+            g = np.add(inputs[t, :, :2 * k], v[:, :2 * k], out=gates[t])
+            g *= 0.5
+            np.tanh(g, out=g)
+            g += 1
+            g *= 0.5
+            mixed[t] = v[:, 2 * k:]
+            n = np.multiply(g[:, k:], mixed[t], out=news[t])
+            n += inputs[t, :, 2 * k:]
+            np.tanh(n, out=n)
+            h = np.subtract(before[t], n, out=after[t])
+            h *= g[:, :k]
+            h += n
         keep = np.flatnonzero(real.T.ravel())
-        states = np.concatenate([x[5] for x in trace])[keep]
+        every = len(keep) == steps * LANES
+        states = after.reshape(-1, k) if every else after.reshape(-1, k)[keep]
         wanted = symbols.T.ravel()[keep]
         scale = np.float32(1 / len(keep))
         classes, word = self.targets(wanted)
-        logits = states @ self.c + self.cb
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), classes] -= 1
-        p *= scale
-        grad_c, grad_cb, down = states.T @ p, p.sum(axis=0), p @ self.c.T
+        grad_c, grad_cb, down = np.zeros_like(self.c), np.zeros_like(self.cb), np.empty_like(states)
+        bound = (np.abs(self.c).sum(axis=0) + np.abs(self.cb)).max()
+        for k0 in range(0, len(states), _TILE):  # tiles stay in the cache
+            tile = slice(k0, k0 + _TILE)
+            p = states[tile] @ self.c
+            p += self.cb
+            p, sums = _exp(p, bound)
+            p *= (scale / sums)[:, None]
+            p[np.arange(len(p)), classes[tile]] -= scale
+            grad_c += states[tile].T @ p
+            grad_cb += p.sum(axis=0)
+            np.matmul(p, self.c.T, out=down[tile])
         grad_o, grad_ob = np.zeros_like(self.o), np.zeros_like(self.ob)
-        for c in np.unique(classes[word]).tolist():
-            members = self.book.members[c]
-            if len(members) > 1:
-                rows = np.flatnonzero(word & (classes == c))
-                inner = states[rows] @ self.o[members].T + self.ob[members]
-                q = np.exp(inner - inner.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(rows)), self.place[wanted[rows]]] -= 1
-                q *= scale
-                grad_o[members] += q.T @ states[rows]
-                grad_ob[members] += q.sum(axis=0)
-                down[rows] += q @ self.o[members]
-        every = np.zeros((steps * LANES, k), np.float32)
-        every[keep] = down
-        every = every.reshape(steps, LANES, k)
-        grad_u, grad_b, back = np.zeros_like(self.u), np.zeros_like(self.b), np.zeros((LANES, k), np.float32)
-        grad_a = np.zeros((steps, LANES, 3 * k), np.float32)
+        rows, cuts = self._by_class(classes, word)
+        mine, slots = states.take(rows, axis=0), self.slot[wanted[rows]]
+        inner = np.empty_like(mine)
+        for c, begin, end in cuts:
+            own, part = slice(self.begin[c], self.begin[c + 1]), slice(begin, end)
+            q = mine[part] @ self.o[own].T
+            q += self.ob[own]
+            q, sums = _exp(q, (np.abs(self.o[own]).sum(axis=1) + np.abs(self.ob[own])).max())
+            q *= (scale / sums)[:, None]
+            q[np.arange(end - begin), slots[part] - self.begin[c]] -= scale
+            np.matmul(q.T, mine[part], out=grad_o[own])
+            q.sum(axis=0, out=grad_ob[own])
+            np.matmul(q, self.o[own], out=inner[part])
+        down[rows] += inner
+        if not every:
+            whole = np.zeros((steps * LANES, k), np.float32)
+            whole[keep] = down
+            down = whole
+        down = down.reshape(steps, LANES, k)
+        grad_a, grad_v = (np.empty((steps, LANES, 3 * k), np.float32) for _ in range(2))
+        back, turned = np.zeros((LANES, k), np.float32), np.ascontiguousarray(self.u.T)
+        # What does not depend on later steps, for all steps at once.
+        z, r = gates[:, :, :k], gates[:, :, k:]
+        to_new, to_z, to_r = (1 - z) * (1 - news * news), (before - news) * z * (1 - z), mixed * r * (1 - r)
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, v, _ = trace[t]
-            dh = every[t] + back
-            dn = dh * (1 - z) * (1 - n * n)
-            da = np.concatenate([dh * (before - n) * z * (1 - z), dn * v * r * (1 - r), dn], axis=1)
-            dv = np.concatenate([da[:, :2 * k], dn * r], axis=1)
-            grad_u += before.T @ dv
-            grad_a[t] = da
-            back = np.where(fresh[:, t, None], np.float32(0), dh * z + dv @ self.u.T)
-        grad_b = grad_a.sum(axis=(0, 1))
-        ids, inverse = np.unique(previous.T.ravel(), return_inverse=True)
-        grad_x = np.zeros((len(ids), 3 * k), np.float32)
-        np.add.at(grad_x, inverse, grad_a.reshape(-1, 3 * k))
-        norm = math.sqrt(sum(float((g * g).sum()) for g in (grad_x, grad_u, grad_c, grad_o)))
+            back += down[t]
+            a, v = grad_a[t], grad_v[t]
+            dn = np.multiply(back, to_new[t], out=a[:, 2 * k:])
+            np.multiply(back, to_z[t], out=a[:, :k])
+            np.multiply(dn, to_r[t], out=a[:, k:2 * k])
+            v[:, :2 * k] = a[:, :2 * k]
+            np.multiply(dn, r[t], out=v[:, 2 * k:])
+            back *= z[t]
+            back += v @ turned
+            back[fresh[:, t]] = 0
+        flat = grad_a.reshape(-1, 3 * k)
+        grad_u, grad_b = before.reshape(-1, k).T @ grad_v.reshape(-1, 3 * k), flat.sum(axis=0)
+        seen = np.bincount(heard, minlength=len(self.x)) > 0
+        ids, places = np.flatnonzero(seen), (np.cumsum(seen) - 1)[heard]
+        cells = (places[:, None] * (3 * k) + np.arange(3 * k)).ravel()
+        grad_x = np.bincount(cells, flat.ravel(), len(ids) * 3 * k).reshape(-1, 3 * k).astype(np.float32)
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in (grad_x, grad_u, grad_c, grad_o)))
         clip = np.float32(min(1.0, 5.0 / max(norm, 1e-9)))
         squares[0][ids] += (grad_x * clip) ** 2
         self.x[ids] -= rate * clip * grad_x / np.sqrt(squares[0][ids])
