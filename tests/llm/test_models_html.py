@@ -156,7 +156,7 @@ def test_state_runs_through_whole_texts():
     texts = [rng.integers(0, 40, n) for n in (1, 700, 3, 50)]
     h, last, total = np.zeros((1, lm.HIDDEN), np.float32), 0, 0.0
     for s in texts[1].tolist():
-        h = net.step(np.array([last]), h)[0]
+        h = net.step((net.x + net.b)[[last]], h)
         total += float(net.log_parts(h, np.array([s]))[0])
         last = s
     assert math.isclose(net.score(texts)[1], total / math.log(10), rel_tol=1e-4)
