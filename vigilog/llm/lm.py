@@ -54,7 +54,7 @@ HIDDEN = 24
 STEPS, LANES = 16, 512
 ROUNDS = SLICES = 4
 #: Tokens of texts that are scored side by side.
-ABREAST = 4_000_000
+ABREAST = 1_500_000
 RATE = 0.06
 
 _SHAPES = 3 * SUFFIXES
@@ -240,23 +240,20 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parameters()])
 
-    def step(self, inputs: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The states after symbols whose rows of x and b have been added up in `inputs`, which is overwritten."""
-        k, v = HIDDEN, h @ self.u
-        gates = inputs[:, :2 * k]
-        gates += v[:, :2 * k]
+    def step(self, symbols: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, v = self.x.take(symbols, axis=0), h @ self.u
+        a += self.b
+        k = HIDDEN
+        gates = a[:, :2 * k] + v[:, :2 * k]
         gates *= 0.5
         np.tanh(gates, out=gates)
         gates += 1
         gates *= 0.5
-        n = v[:, 2 * k:]
-        n *= gates[:, k:]
-        n += inputs[:, 2 * k:]
+        z, r = gates[:, :k], gates[:, k:]
+        n = r * v[:, 2 * k:]
+        n += a[:, 2 * k:]
         np.tanh(n, out=n)
-        h = h - n
-        h *= gates[:, :k]
-        h += n
-        return h
+        return n + z * (h - n), z, r, n, v[:, 2 * k:]
 
     def targets(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The class of each symbol, and whether it is a frequent word."""
@@ -300,7 +297,7 @@ class Network:
         h = np.zeros((len(texts), HIDDEN), np.float32)
         last = np.zeros(len(texts), np.int64)
         sums = np.zeros(len(texts))
-        states, wanted, owners, held, inputs = [], [], [], 0, self.x + self.b
+        states, wanted, owners, held = [], [], [], 0
 
         def settle() -> None:
             if states:
@@ -309,7 +306,7 @@ class Network:
 
         for t in range(int(lengths[0]) if len(texts) else 0):
             live = int(np.searchsorted(-lengths, -t, side="left"))
-            h = self.step(inputs.take(last[:live], axis=0), h[:live])
+            h = self.step(last[:live], h[:live])[0]
             now = flat[begin[:live] + t]
             states.append(h)
             wanted.append(now)
@@ -492,24 +489,12 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     value = F.col(f"`{text}`")
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(value).alias("text_hash"),
                         (fold(F.col(f"`{doc_id}`"), FOLDS) == HELD_OUT).alias("held_out"), value.alias("text"))
-    named = named.withColumn("doc_key", F.xxhash64("doc_id", "text_hash"))
     counts = counted(named)
     ends = docs.select((fold(F.col(f"`{doc_id}`"), FOLDS) == HELD_OUT).alias("held_out")).where("not held_out").count()
     book = lexicon(counts, ends)
     network = trained(named, book)
     shared = spark.sparkContext.broadcast(network)
 
-    def rare(frame: pd.DataFrame, words: Words, shape: np.ndarray, known: np.ndarray) -> pd.DataFrame:
-        at = np.flatnonzero(~known)
-        order = at[np.lexsort((words.hash[at], words.owner[at]))]
-        owner, hashes = words.owner[order], words.hash[order]
-        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1]))) if len(order) else order
-        none = {c: pd.array([None] * len(first), t) for c, t in (
-            ("doc_id", "Int64"), ("text_hash", "Int64"), ("held_out", "boolean"), ("n_tokens", "Int64"), ("n_known", "Int64"), ("n_rare", "Int64"),
-            ("base", "Float64"), ("part", "Float64"))}
-        return pd.DataFrame({**none, "doc_key": frame["doc_key"].to_numpy()[owner[first]], "hash": hashes[first].view(np.int64), "shape": shape[order[first]].astype(np.int32),
-                             "times": np.diff(np.append(first, len(order))).astype(np.int32)})
-
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine = shared.value
         own = mine.book
@@ -518,13 +503,12 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         def settled() -> pd.DataFrame:
             frames = pd.concat([f for f, _ in held], ignore_index=True)
             frames["part"] += mine.score([s for _, symbols in held for s in symbols])
-            return frames.assign(**{c: pd.array([None] * len(frames), "Int64") for c in ("doc_key", "hash", "shape", "times")})
+            return frames
 
         for frame in groups(batches):
             words, n = Words(texts_of(frame)), len(frame)
             symbols, shape, at, single = symbols_of(own, words, n)
             known = at >= 0
-            yield rare(frame, words, shape, known)
             count = np.where(known, own.counts[at] if len(own.counts) else 0, 0)
             share = np.where(known & ~single, own.shares(shape, count), 0.0)
             base = np.where(known, own.base(count), 0.0)
@@ -542,12 +526,23 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         if held:
             yield settled()
 
-    # One pass over the texts: a row per document, and one per rarer word in it.
-    own = "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, part double"
-    both = saved(named.mapInPandas(parts, f"{own}, doc_key long, hash long, shape int, times int"), "lm-parts")
-    local = both.where("doc_key is null").drop("doc_key", "hash", "shape", "times")
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value.book
+        for frame in groups(batches):
+            words = Words(texts_of(frame))
+            at = np.flatnonzero(own.look_up(words.hash) < 0)
+            order = at[np.lexsort((words.hash[at], words.owner[at]))]
+            if not len(order):
+                continue
+            owner, hashes = words.owner[order], words.hash[order]
+            first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])))
+            yield pd.DataFrame({
+                "doc_key": frame["doc_key"].to_numpy()[owner[first]], "hash": hashes[first].view(np.int64),
+                "shape": shapes(words)[order[first]].astype(np.int32), "times": np.diff(np.append(first, len(order))).astype(np.int32)})
+
+    local = saved(named.mapInPandas(parts, "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, n_rare long, base double, part double"), "lm-parts")
     key = F.xxhash64("doc_id", "text_hash")
-    words = both.where("doc_key is not null").select("doc_key", "hash", "shape", "times")
+    words = named.select(key.alias("doc_key"), "text").mapInPandas(rare, "doc_key long, hash long, shape int, times int")
     seen = words.join(counts.select("hash", F.col("n").alias("count")), "hash", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     # A row for each shape, whatever the table holds.
     table = spark.createDataFrame(
