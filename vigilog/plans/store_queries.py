@@ -176,15 +176,37 @@ def streamed(rows: DataFrame, build, name: str) -> DataFrame:
     source, sink, marks = (folder(spark, f"{name}-{x}") for x in ("in", "out", "marks"))
     rows.repartition(6).write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    build(stream, sink).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    # State with maps and timers needs the store that keeps them on disk; the session gets its own setting back.
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        build(stream, sink).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.parquet(sink)
 
 
-@query("live_token_index", "J5 N5", "SELECT kind, id, pos, term FROM tokens WHERE kind = 'turn'")
+@query("live_verdicts", "J1", "SELECT session_id, ruleset, verdict, score, combos, last_scored_seq FROM verdicts")
+def live_verdicts(spark, sf_dir):
+    """Stored events are scored at once, the others as they arrive, in any order; the last word of both is the batch's verdict."""
+    from vigilog.operators import scoring as S
+    from vigilog.plans.activity_queries import ALL, Activity
+    from vigilog.streaming import scoring as L
+    events = Activity(spark, sf_dir).events
+    old, new = events.filter(c("ts") < "2024-01-11"), events.filter(c("ts") >= "2024-01-11")
+    facts = S.event_facts(old)
+    stored_ = S.verdicts(old, S.flag_rows(facts, ALL), S.combos(facts, ALL), ALL).withColumn("version", F.lit(0).cast("bigint"))
+    told = streamed(new, lambda s, sink: L.live_verdicts(s, ALL, old).writeStream.format("parquet").option("path", sink), "verdicts")
+    last = F.max_by(F.struct("verdict", "score", "combos", "last_scored_seq"), "version").alias("v")
+    return stored_.unionByName(told).groupBy("session_id", "ruleset").agg(last).select("session_id", "ruleset", "v.*")
+
+
+@query("live_token_index", "J5 N5", "SELECT kind, id, pos, term FROM tokens")
 def live_token_index(spark, sf_dir):
     """The index built as texts arrive is the index built at once."""
     from vigilog.operators.search import token_index
-    texts = B.texts(spark, sf_dir).filter("kind = 'turn'").select("kind", "id", "text")
+    texts = B.texts(spark, sf_dir).select("kind", "id", "text")
     return streamed(texts, lambda s, sink: token_index(s, ["kind", "id"]).select("kind", "id", "pos", "term").writeStream.format("parquet").option("path", sink), "index")
 
 
