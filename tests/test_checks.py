@@ -1,4 +1,4 @@
-"""Every query with an SQL check gives the same rows; the others run."""
+"""Every query with an SQL check gives the same rows; the others have rows."""
 
 import pytest
 
@@ -11,6 +11,7 @@ def test_query(name, spark, sf, con):
     q = QUERIES[name]
     df = q.build(spark, sf)
     if q.check is None:
-        assert df.count() >= 0
+        rows = df.collect()
+        assert rows and any(any(v is not None for v in r) for r in rows)
     else:
         assert compare(df, con, q.check) is None

@@ -9,6 +9,7 @@ from vigilog.functions import globs as G
 from vigilog.functions import predicates as P
 from vigilog.functions.hashing import canonical_json, sha256_text
 from vigilog.functions.lists import basename, lookup, one_of
+from vigilog.functions.redaction import redact_text
 from vigilog.functions.wording import title_case
 from vigilog.operators.actions import seq_digest, with_outcome
 
@@ -126,10 +127,22 @@ def policy_hash(policy: DataFrame) -> Column:
     A policy is bounded by its own format (128 entries of 64 patterns), so the
     one-row array below has a fixed size limit.
     """
+    return _entries(policy).agg(_hash_of_entries()).scalar()
+
+
+def _entries(policies: DataFrame, *keys: str) -> DataFrame:
     entry = F.to_json(F.struct(*sorted(["id", "reason", *V.POLICY_SELECTORS])))
-    one = policy.select(*["id", "reason"], *[F.array_sort(F.col(s)).alias(s) for s in V.POLICY_SELECTORS]).select(entry.alias("e"), "id")
+    return policies.select(*keys, "id", "reason", *[F.array_sort(F.col(s)).alias(s) for s in V.POLICY_SELECTORS]).select(*keys, "id", entry.alias("e"))
+
+
+def _hash_of_entries() -> Column:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "e"))), lambda x: x["e"]), ",")
-    return one.agg(sha256_text(F.concat(F.lit(POLICY_DOMAIN + '{"expected":['), text, F.lit('],"version":1}')))).scalar()
+    return sha256_text(F.concat(F.lit(POLICY_DOMAIN + '{"expected":['), text, F.lit('],"version":1}')))
+
+
+def policy_hashes(policies: DataFrame, *keys: str) -> DataFrame:
+    """One hash per policy of a table of entries; each policy is bounded by its own format."""
+    return _entries(policies, *keys).groupBy(*keys).agg(_hash_of_entries().alias("policy_hash"))
 
 
 def _pattern_test(match, value: Column):
@@ -227,10 +240,22 @@ def inbox_groups(box: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sessions"), F.sum("unresolved").alias("open"))
 
 
-def accept_reviews(reviews: DataFrame, items: DataFrame, policy_valid: bool = True) -> DataFrame:
-    """New decisions that refer to a current finding; none while the policy is invalid."""
-    current = reviews.join(items.select("session_id", "key"), ["session_id", "key"], "left_semi")
-    return current if policy_valid else current.limit(0)
+def accept_reviews(submitted: DataFrame, items: DataFrame, heads: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """Submitted decisions (review_id, session_id, key, disposition, note, created_at) with a `refusal`, null for those to append.
+
+    A decision needs a known disposition, a finding that is current, and a policy of its session that is not invalid
+    (`policies`: session_id, policy_hash, error). Notes are trimmed, redacted whole and then cut to a length; an accepted one is tied to the head it saw.
+    """
+    rows = submitted.join(items.select("session_id", "key", F.lit(True).alias("_current")), ["session_id", "key"], "left").join(heads, "session_id", "left")
+    none = F.lit(None).cast("string")
+    rows = rows.join(policies.select("session_id", "policy_hash", F.col("error").alias("_error")), "session_id", "left") if policies is not None else rows.withColumns(
+        {"policy_hash": none, "_error": none})
+    refusal = (F.when(F.col("session_id").isNull() | F.col("key").isNull() | ~F.coalesce(F.col("disposition").isin(V.DISPOSITIONS), F.lit(False)), "invalid")
+               .when(F.col("_current").isNull(), "not-current").when(F.col("_error").isNotNull(), "invalid-policy"))
+    rows = redact_text(rows.withColumns({"refusal": refusal, "_note": F.nullif(F.trim("note"), F.lit(""))}), "_note", "_clean", "_hits", "note")
+    fine = F.col("refusal").isNull()
+    return rows.select("review_id", "session_id", "key", "disposition", "created_at", "refusal", F.when(fine, F.substring("_clean", 1, V.MAX_NOTE)).alias("note"),
+                       *[F.when(fine, F.col(a)).alias(b) for a, b in (("head_seq", "reviewed_seq"), ("head_hash", "reviewed_hash"), ("policy_hash", "policy_hash"))])
 
 
 def attestations(identity: DataFrame, sources: DataFrame, verdicts: DataFrame, findings: DataFrame, counts: DataFrame) -> DataFrame:

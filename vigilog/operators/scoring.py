@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigilog.functions import fixed_values as V
 from vigilog.functions import predicates as P
+from vigilog.functions.hashing import sha256_text
 from vigilog.functions.lists import one_of
 from vigilog.operators.ordered import nearest_before
 
 KEY = ["session_id", "seq"]
+#: Thresholds that decide verdicts besides the two tables.
+LIMITS = [("bulk_delete_min", V.BULK_DELETE_MIN), ("bulk_delete_ratio", V.BULK_DELETE_RATIO), ("combo_weight", V.COMBO_WEIGHT), ("combo_window", V.COMBO_WINDOW),
+          ("high_score", V.HIGH_SCORE), ("mass_files_min", V.MASS_FILES_MIN), ("mass_lines_min", V.MASS_LINES_MIN), ("medium_score", V.MEDIUM_SCORE),
+          ("weakening_scanner", V.WEAKENING_SCANNER)]
 
 
 def _fixed_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
@@ -40,6 +45,15 @@ def check_rulesets(rulesets: list[str]) -> list[str]:
     return list(rulesets)
 
 
+def fingerprints(spark: SparkSession, rulesets: list[str]) -> DataFrame:
+    """One hash per ruleset over all that decides its verdicts: scores, combos with their severities, and thresholds; whatever the order of the tables."""
+    rules = rule_scores(spark, check_rulesets(rulesets)).select("ruleset", F.concat_ws("|", F.lit("score"), "rule_key", "flag", F.col("score").cast("string")).alias("line"))
+    chains = combo_rules(spark, rulesets).select("ruleset", F.concat_ws("|", F.lit("combo"), "variant", "combo", "severity").alias("line"))
+    limits = F.lit(",".join(f"{n}={v}" for n, v in LIMITS))
+    return rules.unionByName(chains).groupBy("ruleset").agg(
+        sha256_text(F.concat(F.lit("rules-v1|"), "ruleset", F.lit("|"), F.array_join(F.array_sort(F.collect_list("line")), ","), F.lit("|"), limits)).alias("fingerprint"))
+
+
 def ruleset_number(ruleset: Column) -> Column:
     """Numeric version, so that r10 is newer than r2."""
     return F.coalesce(F.regexp_extract(ruleset, r"^r(\d+)$", 1).try_cast("int"), F.lit(0))

@@ -154,6 +154,19 @@ def rescore_all_rulesets(spark, sf_dir):
     return Activity(spark, sf_dir, ALL).verdicts
 
 
+_LIMITS = ",".join(f"{n}={v}" for n, v in S.LIMITS)
+
+
+@query("rules_fingerprints", "I15 C23", f"""
+    SELECT ruleset, fingerprint, count(*) AS sessions FROM verdicts JOIN (
+      SELECT ruleset, 'sha256:' || sha256('rules-v1|' || ruleset || '|' || array_to_string(list_sort(list(line)), ',') || '|{_LIMITS}') AS fingerprint FROM (
+        SELECT ruleset, 'score|' || rule_key || '|' || flag || '|' || score AS line FROM rules
+        UNION ALL SELECT ruleset, 'combo|' || variant || '|' || combo || '|' || severity FROM combo_rules) GROUP BY 1) USING (ruleset) GROUP BY 1, 2""")
+def rules_fingerprints(spark, sf_dir):
+    """How many sessions have been scored by each ruleset as it stands."""
+    return Activity(spark, sf_dir, ALL).verdicts.join(F.broadcast(S.fingerprints(spark, ALL)), "ruleset").groupBy("ruleset", "fingerprint").agg(F.count(F.lit(1)).alias("sessions"))
+
+
 @query("rule_counts", "E2", "SELECT session_id, flag, count(*) AS events FROM flags WHERE ruleset = 'r4' GROUP BY 1, 2")
 def rule_counts(spark, sf_dir):
     return S.rule_counts(Activity(spark, sf_dir).flags).drop("ruleset")
@@ -511,3 +524,15 @@ def lifecycle_boundaries(spark, sf_dir):
 @query("light_events", "B14", "SELECT session_id, seq, event_id, phase, tool_name, target, ts FROM activity")
 def light_events(spark, sf_dir):
     return Activity(spark, sf_dir).events.select("session_id", "seq", "event_id", "phase", "tool_name", "target", "ts")
+
+
+@query("subagent_parents", "D27 B13", """
+    WITH RECURSIVE linked AS (SELECT session_id, seq, 't' || (CAST(event_id AS BIGINT) - user_id % 3) AS parent FROM activity WHERE agent_id IS NOT NULL),
+      calls AS (SELECT session_id, tool_use_id AS parent, min(seq) AS parent_seq FROM activity WHERE phase = 'pre' AND tool_use_id IS NOT NULL GROUP BY 1, 2)
+    SELECT session_id, parent, seq, parent_seq FROM linked LEFT JOIN calls USING (session_id, parent)""")
+def subagent_parents(spark, sf_dir):
+    """Each event of a subagent with the call that started it, where that call is in the session."""
+    e = Activity(spark, sf_dir).events
+    user = F.regexp_extract("session_id", r"^u(\d+)", 1).cast("bigint")
+    parent = F.when(F.col("agent_id").isNotNull(), F.concat(F.lit("t"), (F.col("event_id").cast("bigint") - user % 3).cast("string")))
+    return T.subagent_parents(e.withColumn("d", F.col("d").withField("parent_tool_use_id", parent)))

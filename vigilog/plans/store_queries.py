@@ -104,12 +104,12 @@ def stored_bodies(spark, sf_dir):
 @query("recorder_downtime", "F12 B16 J8", """
     SELECT strftime(ts - INTERVAL 90 SECOND, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(extract('millisecond' FROM ts) % 1000 AS VARCHAR), 3, '0') || 'Z' AS "from",
       strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(extract('millisecond' FROM ts) % 1000 AS VARCHAR), 3, '0') || 'Z' AS "to", event_id % 200 = 0 AS clean
-    FROM events WHERE event_id % 50 = 0 AND event_id % 100 <> 50""")
+    FROM events WHERE event_id % 100 <> 50""")
 def recorder_downtime(spark, sf_dir):
     """Start rows of the recorder, built as events, and the windows that they tell."""
     n, iso = c("event_id"), lambda t: F.date_format(t, B.ISO)
     fact = F.struct(F.when(n % 100 != 50, iso(c("ts") - F.expr("INTERVAL 90 SECONDS"))).alias("downtime_from"), (n % 200 == 0).alias("clean"))
-    facts = B.table(spark, sf_dir, "events").filter(n % 50 == 0).select(F.lit("recorder").alias("session_id"), iso(c("ts")).alias("ts"), fact.alias("fact"))
+    facts = B.table(spark, sf_dir, "events").select(F.lit("recorder").alias("session_id"), iso(c("ts")).alias("ts"), fact.alias("fact"))
     rows = H.fact_rows(facts, "DaemonStart", "lifecycle", "daemon")
     parsed = rows.withColumn("d", F.from_json("detail", "daemon struct<downtime_from:string,clean:boolean>"))
     return reconcile.recorder_gaps(parsed)

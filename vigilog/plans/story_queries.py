@@ -21,6 +21,7 @@ from vigilog.operators import search as Q
 from vigilog.operators import sessions as N
 from vigilog.operators import spans as O
 from vigilog.operators import story as T
+from vigilog.plans import bridges as B
 from vigilog.plans.activity_queries import Activity, joined
 from vigilog.plans.oracle import CTES, SHELL, in_list, like, plausible_host, sensitive, text_list, text_literal
 from vigilog.plans.registry import query
@@ -468,7 +469,20 @@ def tainted_nodes(spark, sf_dir):
     return G.tainted(*Story(spark, sf_dir).trace)
 
 
-@query("trace_layers", "L10")
+@query("trace_layers", "L10", """
+    WITH RECURSIVE reach(session_id, src, dst) AS (
+        SELECT session_id, src, dst FROM edges UNION SELECT r.session_id, r.src, e.dst FROM reach r JOIN edges e ON e.session_id = r.session_id AND e.src = r.dst),
+      stuck AS (SELECT session_id, src AS id FROM reach WHERE src = dst
+        UNION SELECT r.session_id, r.dst FROM reach r JOIN (SELECT session_id, src FROM reach WHERE src = dst) k ON k.session_id = r.session_id AND k.src = r.src),
+      free AS (SELECT DISTINCT session_id, id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM stuck s WHERE s.session_id = n.session_id AND s.id = n.id)),
+      depth(session_id, id, layer) AS (SELECT session_id, id, 0 FROM free
+        UNION SELECT e.session_id, e.dst, d.layer + 1 FROM depth d JOIN edges e ON e.session_id = d.session_id AND e.src = d.id
+          JOIN free f ON f.session_id = e.session_id AND f.id = e.dst),
+      deepest AS (SELECT session_id, id, max(layer) AS layer FROM depth GROUP BY 1, 2)
+    SELECT session_id, id, layer FROM deepest
+    UNION ALL SELECT n.session_id, n.id, CAST(coalesce(max(d.layer) + 1, 0) AS INTEGER) FROM (SELECT DISTINCT session_id, id FROM nodes) n
+      JOIN stuck s ON s.session_id = n.session_id AND s.id = n.id
+      LEFT JOIN edges e ON e.session_id = n.session_id AND e.dst = n.id LEFT JOIN deepest d ON d.session_id = e.session_id AND d.id = e.src GROUP BY 1, 2""")
 def trace_layers(spark, sf_dir):
     return G.layers(*Story(spark, sf_dir).trace)
 
@@ -601,10 +615,30 @@ def labelled_findings(spark, sf_dir):
     return W.with_expected(s.review[0], matches).select("session_id", "kind", "item", "expected_by", "expected")
 
 
-@query("policy_hashes", "I14")
+# A policy per customer: an entry per order, its patterns from the order's lines in whatever order they come.
+_LINES = "list_sort(list({} || l_linenumber) FILTER (l_linenumber % 2 = {}))"
+CTES["policy_entries"] = f"""
+  SELECT o_custkey AS policy_id, 'e' || o_orderkey AS id, {_LINES.format("'h' || l_suppkey || '.example.com/'", 0)} AS hosts, {_LINES.format("'src/p' || l_partkey || '/'", 1)} AS paths
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"""
+
+
+def customer_policies(spark, sf_dir) -> DataFrame:
+    c, text = F.col, lambda *p: F.concat(*[x.cast("string") if isinstance(x, F.Column) else F.lit(x) for x in p])
+    lines = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    rows = B.table(spark, sf_dir, "orders").join(lines, c("o_orderkey") == c("l_orderkey"))
+    some = lambda cond, value: F.nullif(F.collect_list(F.when(cond, value)), F.array().cast("array<string>"))
+    entries = rows.groupBy(c("o_custkey").alias("policy_id"), text("e", c("o_orderkey")).alias("id")).agg(
+        some(c("l_linenumber") % 2 == 0, text("h", c("l_suppkey"), ".example.com/", c("l_linenumber"))).alias("hosts"),
+        some(c("l_linenumber") % 2 == 1, text("src/p", c("l_partkey"), "/", c("l_linenumber"))).alias("paths"))
+    return entries.withColumns({"reason": F.lit("usual work"), **{n: F.lit(None).cast("array<string>") for n in V.POLICY_SELECTORS if n not in ("hosts", "paths")}})
+
+
+@query("policy_hashes", "I14", f"""
+    SELECT policy_id, 'sha256:' || sha256({text_literal(W.POLICY_DOMAIN)} || '{{"expected":[' || string_agg(e, ',' ORDER BY id) || '],"version":1}}') AS policy_hash FROM (
+      SELECT policy_id, id, '{{' || coalesce('"hosts":' || CAST(to_json(hosts) AS VARCHAR) || ',', '') || '"id":"' || id || '"' ||
+        coalesce(',"paths":' || CAST(to_json(paths) AS VARCHAR), '') || ',"reason":"usual work"}}' AS e FROM policy_entries) GROUP BY 1""")
 def policy_hashes(spark, sf_dir):
-    a = Activity(spark, sf_dir)
-    return a.events.groupBy("session_id").agg(F.max("seq").alias("head_seq")).withColumn("policy_hash", W.policy_hash(policy(spark)))
+    return W.policy_hashes(customer_policies(spark, sf_dir), "policy_id")
 
 
 # Decisions: two of three findings were decided, some before the session's last event or under another policy.
@@ -655,6 +689,25 @@ def review_counts(spark, sf_dir):
     return W.review_counts(decided(spark, sf_dir))
 
 
+@query("guarded_decisions", "N19 N18", """
+    SELECT review_id, session_id, refusal, CASE WHEN refusal IS NULL THEN 'token=[REDACTED:assigned-secret] seen' || CASE WHEN n % 2 = 0 THEN repeat('x', 963) ELSE '' END END AS note,
+      CASE WHEN refusal IS NULL THEN head_seq END AS reviewed_seq, CASE WHEN refusal IS NULL AND m = 1 THEN 'p1' END AS policy_hash
+    FROM (SELECT *, CASE WHEN n % 4 = 3 THEN 'invalid' WHEN n % 3 = 2 THEN 'not-current' WHEN m = 2 THEN 'invalid-policy' END AS refusal FROM (
+      SELECT 'r' || key AS review_id, session_id, CAST('0x' || key[8:11] AS INT) AS n, head_seq, length(session_id) % 3 AS m
+      FROM keyed JOIN (SELECT session_id, max(seq) AS head_seq FROM activity GROUP BY 1) USING (session_id)))""")
+def guarded_decisions(spark, sf_dir):
+    """Decisions on all findings, some of a wrong kind, some on findings that are gone, some under an invalid policy."""
+    s, c = Story(spark, sf_dir), F.col
+    items, heads = s.review[0], heads_of(s.a.events)
+    n = F.conv(F.substring("key", 8, 4), 16, 10).cast("int")
+    note = F.concat(F.lit("  token=abcdef"), n.cast("string"), F.lit(" seen"), F.when(n % 2 == 0, F.repeat(F.lit("x"), 2000)).otherwise(""), F.lit("  "))
+    sent = items.select(F.concat(F.lit("r"), "key").alias("review_id"), "session_id", F.when(n % 3 == 2, F.concat(F.lit("gone-"), "key")).otherwise(c("key")).alias("key"),
+                        F.when(n % 4 == 3, "maybe").otherwise("expected").alias("disposition"), note.alias("note"), F.lit("2024-02-01").alias("created_at"))
+    m = F.length("session_id") % 3
+    policies = heads.filter(m != 0).select("session_id", F.when(m == 1, "p1").alias("policy_hash"), F.when(m == 2, "bad pattern").alias("error"))
+    return W.accept_reviews(sent, items, heads, policies).select("review_id", "session_id", "refusal", "note", "reviewed_seq", "policy_hash")
+
+
 @query("severity_gate", "C24", "SELECT session_id FROM review_counts WHERE open_high + open_medium > 0")
 def severity_gate(spark, sf_dir):
     return W.gate(W.review_counts(decided(spark, sf_dir)), "medium").select("session_id")
