@@ -189,3 +189,21 @@ def test_every_training_document_is_learned_from_once(spark):
     docs = spark.range(200).select(F.concat(F.lit("text "), "id").alias("text"), (F.col("id") % 7 == 2).alias("held_out")).withColumn("text_hash", F.xxhash64("text"))
     met = [r["text"] for k in range(lm.ROUNDS) for r in lm.round_texts(docs, k).collect()]
     assert sorted(met) == sorted(f"text {k}" for k in range(200) if k % 7 != 2)
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "content no-sidebar", "post-with-comments", "social-article", "share-prices", "search-result-page", "main-content"])
+def test_words_in_names_of_wrappers_do_not_lose_the_article(name):
+    said = [f"Sentence {k} of an article that goes on for a while about rivers and ferries." for k in range(8)]
+    text = "".join(f"<p>{t}</p>" for t in said)
+    page = (f"<body><nav><a href=/>Home</a></nav><div class='{name}'><h1>Title</h1>{text}<div class='sidebar'>Most read</div>"
+            "<div id='comments'><p>Nice one, I liked it a lot and said so.</p></div></div><footer>Imprint</footer></body>")
+    assert main_text(page) == " ".join(["Title", *said])
+    # Without the wrapper's name nothing else changes.
+    assert main_text(page.replace(f" class='{name}'", "")) == " ".join(["Title", *said])
+
+
+def test_long_comments_stay_out():
+    article = "".join(f"<p>Line {k} of the article about the old bridge over the river.</p>" for k in range(4))
+    comments = "".join(f"<div class='comment'><p>Comment {k}: I do not agree with any of this at all, sorry.</p></div>" for k in range(12))
+    got = main_text(f"<body><div>{article}</div><div class='comments'>{comments}</div></body>")
+    assert "Comment" not in got and got.count("Line") == 4

@@ -2,8 +2,9 @@
 
 A page becomes a tree of block elements; inline elements are part of their
 block's text. Menus, page headers and footers, sidebars, notices, adverts, forms,
-comments and hidden parts are told by element or by the words of their class, id
-and role, and take no part. For each other node the link-adjusted density of
+comments and hidden parts are told by element, or suspected by the words of their class, id
+and role, and take no part. But words also stand in names of wrappers: where the suspects leave
+less than a tenth of the page's unlinked text, the one with most of it is cleared, and so on. For each other node the link-adjusted density of
 characters per tag is computed, and the sum of the densities of its children
 (runs of text of its own count as children). The node with the largest sum is
 the main text; the least density on its path to the body is the threshold, and
@@ -20,6 +21,7 @@ equal texts; an empty table gives an empty result. Only the named column is read
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -63,7 +65,7 @@ class Page:
     """The blocks of a page in page order, parents first."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.dropped = ["body"], [-1], [False]
+        self.tags, self.parents, self.dropped, self.suspect = ["body"], [-1], [False], [False]
         self.runs: list[tuple[int, str, int]] = []
         self.links = [0]
         self._stack: list[tuple[str, int]] = []
@@ -146,7 +148,7 @@ class Page:
             return
         if rest.endswith("/") and name in ("svg", "math", "path"):
             return
-        if name in INLINE and not _drops(name, rest, True):
+        if name in INLINE and _drops(name, rest, True) == KEPT:
             if name == "a":
                 if (place := self._nearest(("a",), INLINE)) is not None:
                     self._pop_to(place)
@@ -160,7 +162,9 @@ class Page:
         self.tags.append(name)
         self.parents.append(self._node)
         self.links.append(0)
-        self.dropped.append(self.dropped[self._node] or _drops(name, rest, inside))
+        verdict = _drops(name, rest, inside)
+        self.dropped.append(self.dropped[self._node] or verdict == GONE)
+        self.suspect.append(verdict == SUSPECT)
         self._node = len(self.tags) - 1
         self._stack.append((name, self._node))
         self._open[name] += 1
@@ -172,25 +176,59 @@ class Page:
             self._pop_to(place)
 
 
-def _drops(name: str, rest: str, inside: bool) -> bool:
+KEPT, SUSPECT, GONE = range(3)
+
+
+def _drops(name: str, rest: str, inside: bool) -> int:
+    """Whether an element is no main text by its kind or state (GONE), or by its names alone (SUSPECT)."""
     if name in DROPPED or name == "header" and not inside:
-        return True
+        return GONE
     if not rest or rest == "/":
-        return False
+        return KEPT
+    verdict = KEPT
     for key, value in _NAMED.findall(rest):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return GONE
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return GONE
             continue
         words = {w.lower() for w in _WORD.findall(value)}
         if name in ("article", "main", "section") and key != "role" and not words & {"comment", "comments", "respond", "related", "ad", "ads", "advert", "sidebar"}:
             continue
         if words & DROPPED_WORDS or not inside and words & PAGE_HEADER_WORDS:
-            return True
-    return False
+            verdict = SUSPECT
+    return verdict
+
+
+def _settle(page: Page) -> None:
+    """Drop the suspects, but clear those without which next to no unlinked text is left, the fullest first."""
+    n = len(page.tags)
+    free, outer = [0] * n, [-1] * n
+    for node, text, of_links in page.runs:
+        free[node] += len(text) - of_links
+    for k in range(n - 1, 0, -1):
+        free[page.parents[k]] += free[k]
+    within: dict[int, list[int]] = {}
+    for k in range(1, n):
+        up = page.parents[k]
+        outer[k] = up if page.suspect[up] else outer[up]
+        if page.suspect[k]:
+            within.setdefault(outer[k], []).append(k)
+    held = [(-free[k], k) for k in within.get(-1, [])]
+    left = free[0] + sum(f for f, _ in held)
+    heapq.heapify(held)
+    while held and 10 * left < free[0]:
+        most, k = heapq.heappop(held)
+        page.suspect[k] = False
+        inner = [(-free[j], j) for j in within.get(k, [])]
+        left += sum(f for f, _ in inner) - most
+        for one in inner:
+            heapq.heappush(held, one)
+    for k in range(1, n):
+        page.dropped[k] = page.dropped[k] or page.suspect[k] or page.dropped[page.parents[k]]
+    page.runs = [r for r in page.runs if not page.dropped[r[0]]]
 
 
 def _density(c: int, lc: int, t: int, lt: int, ratio: float) -> float:
@@ -207,6 +245,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
+    _settle(page)
     n = len(page.tags)
     chars, linked, tags, links = [0] * n, [0] * n, [0] * n, list(page.links)
     for node, text, of_links in page.runs:
