@@ -5,6 +5,9 @@ import pytest
 from vigilog.plans.check import compare
 from vigilog.plans.queries import QUERIES
 
+#: The smallest texts hold no secrets (redaction_types, by SQL, gives no rows either).
+NONE_HERE = {"redaction_hits"}
+
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(name, spark, sf, con):
@@ -12,6 +15,6 @@ def test_query(name, spark, sf, con):
     df = q.build(spark, sf)
     if q.check is None:
         rows = df.collect()
-        assert rows and any(any(v is not None for v in r) for r in rows)
+        assert bool(rows) == (name not in NONE_HERE) and all(any(v is not None for v in r) for r in rows)
     else:
         assert compare(df, con, q.check) is None
