@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -6,6 +7,7 @@ import xxhash
 from corpus_rows import ODD_ROWS, PROSE, documents
 
 from vigilog.llm import passages, simhash
+from vigilog.llm.common import WORDS
 from vigilog.llm.components import components
 from vigilog.llm.queries import QUERIES
 
@@ -123,6 +125,44 @@ def test_links_by_rare_shingles_are_all_links():
         assert roots(pairs, range(len(sets))) == roots(passages.linked_members(sets), range(len(sets)))
 
 
+def test_variants_of_one_template_take_time_in_proportion():
+    template = [f"w{k}" for k in range(50)]
+    sets = [passages.shingle_set(" ".join(template[:k % 50] + [f"x{k}"] + template[k % 50 + 1:])) for k in range(50_000)]
+    begin = time.process_time()
+    links = passages.linked_members(sets)
+    assert time.process_time() - begin < 20
+    few = roots([(i, j) for i in range(100) for j in range(i) if passages.jaccard(sets[i], sets[j]) >= passages.SIMILARITY], range(100))
+    got = roots(links, range(len(sets)))
+    assert all(got[k] == few[k % 50] for k in range(len(sets))) and len(set(got.values())) == 41
+
+
+def test_hot_anchors_keep_one_place_in_all(spark):
+    rng = random.Random(23)
+    passage, other = ([f"p{rng.randrange(10 ** 7)}" for _ in range(n)] for n in (70, 55))
+    rows = [(k if k % 5 else -k, " ".join([f"h{k}"] * (k % 3) + passage + [f"t{k}"] + other * (k % 2)), None, "a") for k in range(1, 60)] + [(None, " ".join(passage), None, "a")]
+    named, _ = passages._told_apart(documents(spark, rows), "doc_id", "text")
+    plain, dealt = ({(r["doc_id"], r["text_hash"], r["word"], r["n_words"]) for r in passages.stretches(named, n).collect()} for n in (10 ** 6, 7))
+    assert plain == dealt and len(dealt) == 59 + 29
+    assert {r["doc_id"] for r in passages.stretches(named, 7).where("kept_doc_id is null").collect()} > {1}
+
+
+def test_every_later_place_of_50_words_is_marked(spark, sf):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    spans = defaultdict(list)
+    for r in QUERIES["op4_repeated_passages"](spark, sf).collect():
+        spans[r["doc_id"]].append((r["start"], r["end"]))
+    first, later = {}, 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
+        found = list(WORDS.finditer(r["text"] or ""))
+        words = [m[0].translate(lower) for m in found]
+        for k in range(len(words) - 49):
+            doc, at = first.setdefault(tuple(words[k:k + 50]), (r["doc_id"], k))
+            if doc != r["doc_id"] or k >= at + 50:
+                later += 1
+                assert any(a <= found[k].start() and found[k + 49].end() <= b for a, b in spans[r["doc_id"]]), (r["doc_id"], k)
+    assert later > 100
+
+
 def test_paragraphs_cover_texts_and_bands_recall():
     texts = ["A b c d. E f g h!\nI j k l", "", None, "é ü ö x y zz. \n\n  q", "one"]
     p = passages.Paragraphs(texts)

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilog.llm.common import fresh, matched, saved, small_batches
+from vigilog.llm.common import fresh, matched, saved, small_batches, word_count
 from vigilog.llm.components import components
 from vigilog.llm.runs import collisions, whole_runs
 from vigilog.llm.words import Words, groups, mix, powers, sequence_hash, texts_of
@@ -50,6 +50,8 @@ MIN_WORDS = 20
 #: Words of a stretch that is found wherever it starts and ends, and of the anchors in it.
 RUN_WORDS = 50
 ANCHOR_WORDS = 25
+#: Places of one anchor from which its stretches are dealt to several groups.
+HOT_PLACES = 50_000
 
 _SEEN = 400_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -162,7 +164,13 @@ class Stretches:
 
 
 _OCCURRENCE = "doc_id long, text_hash long, place int, word long, start long, end long, n_words int, hash long"
-_STRETCH = "doc_id long, text_hash long, times int, word int, start int, end int, hash long"
+_AT = "none boolean, doc_id long, text_hash long, word int, start int, end int"
+_STRETCH = f"hash long, salt int, {_AT}"
+_LATER = f"{_AT}, class_id long, kept_none boolean, kept_id long, n_copies long"
+
+
+#: What names a document in the stretches' rows: whether its id is null, its id or 0, and its text.
+_DOC = ("none", "doc_id", "text_hash")
 
 
 def _occurrence_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,8 +206,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = pd.DataFrame({"text": found.owner[s.anchors], "value": s.values[s.anchors].view(np.int64)})
             rows = rows.groupby(["text", "value"], sort=False).size().reset_index(name="n")
             at = rows["text"].to_numpy()
-            yield pd.DataFrame({"doc_id": frame["doc_id"].array[at], "text_hash": frame["text_hash"].to_numpy()[at],
-                                "value": rows["value"], "n": rows["n"].astype(np.int32)})
+            yield pd.DataFrame({**{c: frame[c].to_numpy()[at] for c in _DOC}, "value": rows["value"], "n": rows["n"].astype(np.int32)})
 
 
 def _stretch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,10 +214,13 @@ def _stretch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = Words(texts_of(frame))
         s = Stretches(found)
         edges = np.searchsorted(s.owner, np.arange(len(frame) + 1))
-        wanted = np.zeros(len(s.first), bool)
-        for k, values in enumerate(frame["anchors"]):
+        wanted, salt = np.zeros(len(s.first), bool), np.zeros(len(s.first), np.int32)
+        for k, (values, parts, of_text) in enumerate(zip(frame["anchors"], frame["parts"], frame["text_hash"])):
             part = slice(edges[k], edges[k + 1])
-            wanted[part] = np.isin(s.anchor[part], np.asarray(values, np.int64).view(np.uint64))
+            values, parts = np.asarray(values, np.int64).view(np.uint64), np.asarray(parts, np.int64)
+            wanted[part] = np.isin(s.anchor[part], values)
+            for value, n in zip(values[parts > 1], parts[parts > 1].tolist()):
+                salt[part][s.anchor[part] == value] = 1 + of_text % n
         first, owner = s.first[wanted], s.owner[wanted]
         if not len(first):
             continue
@@ -220,10 +230,68 @@ def _stretch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = np.append(found.owner, -1)[after] != owner
         end = np.where(last, chars[found.text_ends - 1][owner], chars[np.append(found.starts, 0)[after]])
         yield pd.DataFrame({
-            "doc_id": frame["doc_id"].array[owner], "text_hash": frame["text_hash"].to_numpy()[owner],
-            "times": frame["times"].to_numpy()[owner], "word": (first - np.searchsorted(found.owner, owner)).astype(np.int32),
-            "start": (chars[found.starts[first]] - base).astype(np.int32), "end": (end - base).astype(np.int32),
-            "hash": s.hash[wanted].view(np.int64)})
+            "hash": s.hash[wanted].view(np.int64), "salt": salt[wanted], **{c: frame[c].to_numpy()[owner] for c in _DOC},
+            "word": (first - np.searchsorted(found.owner, owner)).astype(np.int32),
+            "start": (chars[found.starts[first]] - base).astype(np.int32), "end": (end - base).astype(np.int32)})
+
+
+def _later_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by hash, salt and place: those that do not overlap the first of their group, with that first's id.
+
+    The first of a salted group is given too, with 0 copies. A group is streamed over, so its size is not bound by memory.
+    """
+    held, seen = None, 0  # the first row of the group that is open, and its rows so far
+    for frame in batches:
+        n = len(frame)
+        if not n:
+            continue
+        columns = {c: frame[c].to_numpy() for c in frame.columns}
+        new = np.ones(n, bool)
+        for k, c in enumerate(("hash", "salt")):
+            differs = np.append(held is None or held[c] != columns[c][0], columns[c][1:] != columns[c][:-1])
+            new = new & differs if not k else new | differs
+        at = np.where(new, np.arange(n), -1)
+        np.maximum.accumulate(at, out=at)
+        before = at < 0
+
+        def first(c: str) -> np.ndarray:
+            own = columns[c][np.maximum(at, 0)]
+            return np.where(before, held[c], own) if before.any() else own
+
+        count = np.arange(n) - at + 1
+        count[before] = seen + np.arange(1, n + 1)[before]
+        same = np.ones(n, bool)
+        for c in _DOC:
+            same &= first(c) == columns[c]
+        opens = new & (columns["salt"] > 0)
+        take = opens | ~same | (columns["word"] >= first("word") + RUN_WORDS)
+        if take.any():
+            yield pd.DataFrame({
+                **{c: columns[c][take] for c in (*_DOC, "word", "start", "end")}, "class_id": columns["hash"][take],
+                "kept_none": first("none")[take], "kept_id": first("doc_id")[take], "n_copies": np.where(opens, 0, count)[take]})
+        held, seen = {c: first(c)[-1] for c in columns}, int(count[-1])
+
+
+def _joined_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by document and word: one row per run of stretches that touch (two, if a batch ends inside one)."""
+    for frame in batches:
+        if not len(frame):
+            continue
+        word = frame["word"].to_numpy()
+        opens = np.append(True, word[1:] > word[:-1] + RUN_WORDS)
+        for c in _DOC:
+            opens[1:] |= frame[c].to_numpy()[1:] != frame[c].to_numpy()[:-1]
+        at = np.flatnonzero(opens)
+        last = np.append(at[1:], len(frame)) - 1
+        out = frame.iloc[at].reset_index(drop=True)
+        named = ~frame["kept_none"].to_numpy()
+        most = np.iinfo(np.int64).max
+        out["kept_id"] = np.minimum.reduceat(np.where(named, frame["kept_id"].to_numpy(), most), at)
+        out["kept_none"] = ~np.logical_or.reduceat(named, at)
+        out["n_copies"] = np.maximum.reduceat(frame["n_copies"].to_numpy(), at)
+        out["end"] = frame["end"].to_numpy()[last]
+        out["n_words"] = word[last] - word[at] + RUN_WORDS
+        yield out[[*_DOC, "word", "start", "end", "class_id", "kept_none", "kept_id", "n_copies", "n_words"]]
 
 
 def shingle_set(text: str) -> frozenset:
@@ -240,13 +308,19 @@ def jaccard(a: frozenset, b: frozenset) -> float:
 def linked_members(sets: list[frozenset]) -> list[tuple[int, int]]:
     """Links that tie together all members that hang together by similarity.
 
-    Two similar sets share one of the rarest shingles of both, so a member meets only those that have one of its own
-    rarest; of these, members that already hang together with it are passed over.
+    A shingle that only one member has is in no intersection. So members with equal sets of other shingles and equal sizes are of
+    one kind: they have equal similarities to all others, and all or none of them to each other; variants of a template come
+    to few kinds. Two similar sets share one of the rarest shingles of both, so a kind meets only those that have one of its
+    own rarest; of these, kinds that already hang together with it are passed over.
     """
     if len(sets) == 2:
         return [(0, 1)] if jaccard(*sets) >= SIMILARITY else []
     count = Counter(chain.from_iterable(sets))
-    root = list(range(len(sets)))
+    kinds: dict[tuple[frozenset, int], list[int]] = defaultdict(list)
+    for k, one in enumerate(sets):
+        kinds[frozenset(s for s in one if count[s] > 1), len(one)].append(k)
+    members = list(kinds.values())
+    root = list(range(len(kinds)))
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -254,14 +328,28 @@ def linked_members(sets: list[frozenset]) -> list[tuple[int, int]]:
         return k
 
     by_shingle: dict[tuple, list[int]] = defaultdict(list)
-    links = []
-    for k, mine in enumerate(sets):
-        rare = sorted(mine, key=lambda s: (count[s], s))[:len(mine) - ceil(SIMILARITY * len(mine) - 1e-9) + 1]
+    links, apart = [], set()
+    shapes = list(kinds)
+    for k, (mine, size) in enumerate(shapes):
+        if len(members[k]) > 1:
+            if len(mine) / (2 * size - len(mine)) >= SIMILARITY:
+                links += [(members[k][0], m) for m in members[k][1:]]
+            else:
+                apart.add(k)
+        most = size - ceil(SIMILARITY * size - 1e-9) + 1 - (size - len(mine))
+        rare = sorted(mine, key=lambda s: (count[s], s))[:max(0, most)]
         for other in dict.fromkeys(chain.from_iterable(by_shingle[s] for s in rare)):
-            a, b = find(other), find(k)
-            if a != b and jaccard(mine, sets[other]) >= SIMILARITY:
-                links.append((other, k))
-                root[b] = a
+            if find(other) == find(k):
+                continue
+            both = len(mine & shapes[other][0])
+            if both / (size + shapes[other][1] - both) < SIMILARITY:
+                continue
+            links.append((members[other][0], members[k][0]))
+            for one, to in ((k, other), (other, k)):
+                if one in apart:
+                    links += [(members[to][0], m) for m in members[one][1:]]
+                    apart.discard(one)
+            root[find(k)] = find(other)
         for s in rare:
             by_shingle[s].append(k)
     return links
@@ -292,10 +380,20 @@ def _contents(named: DataFrame, places: DataFrame, wanted: DataFrame) -> DataFra
     return matched(named, at, here, "inner").select("value", piece.alias("content")).dropDuplicates(["value"])
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Saved occurrences of all paragraphs, and (`node`, `component`) of the content hashes that resemble unequal ones."""
-    small_batches(docs.sparkSession)
+def _told_apart(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The first document of each text, as `doc_id`, `text_hash` and `text`; and all others, with that first one's id and the number of both."""
     named = _named(docs, doc_id, text)
+    equal = named.groupBy("text_hash").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"))
+    equal = saved(equal.where("n > 1").select(F.col("text_hash").alias("equal_hash"), F.col("first.doc_id").alias("first_id"), "ids"), "passage-equal")
+    both = matched(named, equal, named["text_hash"] == equal["equal_hash"], "left")
+    own = F.col("equal_hash").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id"))
+    copies = both.where(~own).select("doc_id", "text_hash", word_count(F.col("text")).alias("n_words"), F.length("text").alias("n_chars"), "first_id", "ids")
+    return both.where(own).select("doc_id", "text_hash", "text"), copies.dropDuplicates(["doc_id", "text_hash"])
+
+
+def classes(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Saved occurrences of all paragraphs, and (`node`, `component`) of the content hashes that resemble unequal ones."""
+    small_batches(named.sparkSession)
     places = saved(named.mapInPandas(_occurrence_rows, _OCCURRENCE), "paragraphs")
     hits = saved(collisions(named.select("text").mapInPandas(_band_rows, "key long, value long")), "paragraph-hits")
     wanted = saved(hits.select("value").distinct(), "paragraph-values")
@@ -304,38 +402,52 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     return places, components(together.mapInPandas(_verified, "a long, b long"))
 
 
-def stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Saved stretches of RUN_WORDS words whose anchors stand at two places or more, and how many documents have their text.
+def _after_first(rows: DataFrame) -> DataFrame:
+    order = ["hash", "salt", F.col("none").desc(), "doc_id", "text_hash", "word"]
+    return rows.repartition("hash", "salt").sortWithinPartitions(*order).mapInPandas(_later_stretches, _LATER)
+
+
+def stretches(named: DataFrame, hot_places: int = HOT_PLACES) -> DataFrame:
+    """Stretches of RUN_WORDS words that stand at an earlier place already, joined to runs.
 
-    Of equal texts only the first is laid out: all paragraphs of the others are marked as they are.
+    Rows go to the others of their hash in one shuffle, and the later ones back to their document in a second. If an anchor has
+    more than `hot_places` places, its stretches are dealt to several groups by their text; the first rows of those groups meet in
+    a second round, so one place is kept in all. `kept_doc_id` is then the first of a group.
     """
-    named = _named(docs, doc_id, text)
-    equal = named.groupBy("text_hash").agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("times"))
-    equal = saved(equal.where("n > 1").select(F.col("text_hash").alias("equal_hash"), "first", F.col("times").cast("int").alias("times")), "stretch-equal")
-    named = matched(named, equal, named["text_hash"] == equal["equal_hash"], "left").where(F.col("equal_hash").isNull() | F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    named = named.select("doc_id", "text_hash", "text", F.greatest(F.lit(1), F.coalesce("times", F.lit(1))).alias("times"))
-    anchors = saved(named.mapInPandas(_anchor_rows, "doc_id long, text_hash long, value long, n int"), "stretch-anchors")
-    often = saved(anchors.groupBy("value").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("value").alias("often")), "stretch-shared")
-    by_text = matched(anchors, often, anchors["value"] == often["often"], "inner").groupBy("doc_id", "text_hash").agg(F.collect_set("value").alias("anchors"))
-    by_text = saved(by_text.withColumnsRenamed({"doc_id": "in_doc", "text_hash": "in_text"}), "stretch-texts")
-    here = named["doc_id"].eqNullSafe(by_text["in_doc"]) & (named["text_hash"] == by_text["in_text"])
+    named = named.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash", "text")
+    anchors = saved(named.mapInPandas(_anchor_rows, "none boolean, doc_id long, text_hash long, value long, n int"), "stretch-anchors")
+    often = anchors.groupBy("value").agg(F.sum("n").alias("n")).where("n > 1")
+    often = saved(often.select(F.col("value").alias("often"), F.ceil(F.col("n") / hot_places).cast("long").alias("n_parts")), "stretch-shared")
+    by_text = matched(anchors, often, anchors["value"] == often["often"], "inner").groupBy(*[F.col(c).alias(f"in_{c}") for c in _DOC]).agg(
+        F.collect_list("often").alias("anchors"), F.collect_list("n_parts").alias("parts"))
+    by_text = saved(by_text, "stretch-texts")
+    here = (named["none"] == by_text["in_none"]) & (named["doc_id"] == by_text["in_doc_id"]) & (named["text_hash"] == by_text["in_text_hash"])
     # Lists of anchors are not narrow rows, so this join is never broadcast by count.
-    wanted = named.join(by_text, here).select("doc_id", "text_hash", "text", "times", "anchors")
-    return saved(wanted.mapInPandas(_stretch_rows, _STRETCH), "stretches")
+    wanted = named.join(by_text, here).select(*_DOC, "text", "anchors", "parts")
+    later = _after_first(wanted.mapInPandas(_stretch_rows, _STRETCH))
+    if not often.where("n_parts > 1").isEmpty():
+        later = saved(later, "stretch-later")
+        firsts = later.where("n_copies = 0").withColumnRenamed("class_id", "hash").withColumn("salt", F.lit(0))
+        later = later.where("n_copies > 0").unionAll(_after_first(firsts.select("hash", "salt", *_DOC, "word", "start", "end")))
+    by_place = later.repartition(*_DOC).sortWithinPartitions(*_DOC, "word")
+    runs = by_place.mapInPandas(_joined_stretches, _LATER + ", n_words int")
+    return runs.select(
+        F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "text_hash", "word", "start", "end", "n_words", "class_id",
+        F.when(~F.col("kept_none"), F.col("kept_id")).alias("kept_doc_id"), "n_copies")
 
 
 _MARKED = ["doc_id", "text_hash", "word", "start", "end", "n_words", "class_id", "kept_doc_id", "n_copies"]
 
 
-def _later(each: DataFrame, key: str, place: str, name: str, size: int = 1, times: Column | None = None) -> DataFrame:
-    """The rows of `each` that do not overlap the first of their `key`, `size` places long, once each, with the first's id and the number of rows."""
+def _later(each: DataFrame, key: str, place: str, name: str) -> DataFrame:
+    """The rows of `each` but for the first of their `key`, once each, with the first's id and the number of rows."""
     at = F.struct(F.col("doc_id"), F.col("text_hash"), F.col(place))
-    first = each.groupBy(key).agg(F.min(at).alias("kept"), F.count("*").alias("n"), F.sum(F.lit(1) if times is None else times).alias("n_copies")).where("n > 1").drop("n")
+    first = each.groupBy(key).agg(F.min(at).alias("kept"), F.count("*").alias("n_copies")).where("n_copies > 1")
     # Written, so that the join reads a table of its own and Spark can split its hot classes.
     first = saved(first.withColumnRenamed(key, "first_class"), name)
     later = matched(each, first, each[key] == first["first_class"], "inner")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))
-    later = later.where(~same | (F.col(place) >= F.col(f"kept.{place}") + size))
+    later = later.where(~same | (F.col(place) > F.col(f"kept.{place}")))
     return later.select(*each.columns, F.col("kept.doc_id").alias("kept_doc_id"), "n_copies").dropDuplicates(["doc_id", "text_hash", place])
 
 
@@ -343,14 +455,18 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     """One row per repeated passage that is to go.
 
     `doc_id`, `text_hash`, `start` and `end` (characters, end excluded), `n_words`, `n_paragraphs`, `kept_doc_id` (smallest id that
-    keeps a copy of a part of it), `class_id` (of its first paragraph or stretch), `n_copies` (most occurrences of a part).
+    has an earlier copy of a part of it), `class_id` (of its first paragraph or stretch), `n_copies` (most texts that have a part,
+    for stretches those up to this one). A document that is a copy as a whole is one passage, of no paragraphs: its class is its
+    text's hash, its copies are those of the text.
     """
-    places, roots = classes(docs, doc_id, text)
+    small_batches(docs.sparkSession)
+    named, copies = _told_apart(docs, doc_id, text)
+    places, roots = classes(named)
     roots = saved(roots.withColumnsRenamed({"node": "of_hash"}), "paragraph-classes")
     each = matched(places, roots, places["hash"] == roots["of_hash"], "left").select(
         "doc_id", "text_hash", "place", "word", "start", "end", "n_words", F.coalesce("component", "hash").alias("class_id"))
     marked = _later(each, "class_id", "place", "passage-firsts").select(*_MARKED, F.lit(1).alias("paragraph"))
-    again = _later(stretches(docs, doc_id, text).withColumn("n_words", F.lit(RUN_WORDS)).withColumnRenamed("hash", "class_id"), "class_id", "word", "stretch-firsts", RUN_WORDS, F.col("times"))
+    again = stretches(named)
     marked = marked.unionAll(again.select(*_MARKED, F.lit(0).alias("paragraph"))).withColumn("stop", F.col("word") + F.col("n_words"))
     in_text = Window.partitionBy("doc_id", "text_hash").orderBy("word", "stop", "paragraph")
     reached = F.max("stop").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
@@ -359,7 +475,10 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     found = runs.groupBy("doc_id", "text_hash", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("stop") - F.min("word")).alias("n_words"), F.sum("paragraph").alias("n_paragraphs"),
         F.min("kept_doc_id").alias("kept_doc_id"), F.min_by("class_id", F.struct("word", "stop", "paragraph")).alias("class_id"), F.max("n_copies").alias("n_copies"))
-    return found.where(F.col("n_words") >= min_words).drop("run")
+    whole = copies.select(
+        "doc_id", "text_hash", F.lit(0).alias("start"), F.col("n_chars").alias("end"), "n_words", F.lit(0).alias("n_paragraphs"),
+        F.col("first_id").alias("kept_doc_id"), F.col("text_hash").alias("class_id"), F.col("ids").alias("n_copies"))
+    return found.drop("run").unionByName(whole).where(F.col("n_words") >= min_words)
 
 
 def _without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
