@@ -52,6 +52,8 @@ RUN_WORDS = 50
 ANCHOR_WORDS = 25
 #: Places of one anchor from which its stretches are dealt to several groups.
 HOT_PLACES = 50_000
+#: Narrow rows handed on at a time.
+NARROW_ROWS = 50_000
 
 _SEEN = 400_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -235,13 +237,25 @@ def _stretch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "start": (chars[found.starts[first]] - base).astype(np.int32), "end": (end - base).astype(np.int32)})
 
 
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in fewer and larger frames; batches are small for the sake of whole texts, these rows are narrow."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= NARROW_ROWS:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _later_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by hash, salt and place: those that do not overlap the first of their group, with that first's id.
 
     The first of a salted group is given too, with 0 copies. A group is streamed over, so its size is not bound by memory.
     """
     held, seen = None, 0  # the first row of the group that is open, and its rows so far
-    for frame in batches:
+    for frame in _together(batches):
         n = len(frame)
         if not n:
             continue
@@ -273,8 +287,8 @@ def _later_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _joined_stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by document and word: one row per run of stretches that touch (two, if a batch ends inside one)."""
-    for frame in batches:
+    """Rows sorted by document and word: one row per run of stretches that touch (two, if a frame ends inside one)."""
+    for frame in _together(batches):
         if not len(frame):
             continue
         word = frame["word"].to_numpy()
