@@ -2,8 +2,9 @@ from collections import Counter
 
 import corpus_pipeline
 from corpus_rows import ODD_ROWS, documents
+from test_similar import exact_classes
 
-from vigilog.llm import mixing, quality, simhash
+from vigilog.llm import mixing, quality
 from vigilog.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,13 +20,7 @@ def test_stages_take_effect_one_after_the_other(spark, sf):
             fails = {r["doc_id"] for r in before if any(bad(r["text"]) for bad in RULES)}
             assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before} - fails and fails
         elif name == "near duplicates":
-            prints = [(simhash.fingerprint(r["text"]), r["doc_id"]) for r in before]
-            group = {d: d for _, d in prints}
-            for p, d in sorted(prints, key=lambda x: x[1]):
-                for q, e in prints:
-                    if e < d and (p ^ q).bit_count() <= 2 and group[e] != group[d]:
-                        low, high = sorted((group[e], group[d]))
-                        group = {k: low if v == high else v for k, v in group.items()}
+            group = exact_classes([(r["doc_id"], r["text"]) for r in before])
             assert {r["doc_id"] for r in after} == set(group.values())
         elif name == "repeated passages":
             texts = {r["doc_id"]: r["text"] for r in before}
