@@ -104,3 +104,22 @@ def test_points_within_two_bits_share_an_anchor():
             assert (int(anchor) ^ int(points[at])).bit_count() <= 2
         balls.append(ball)
     assert all(a & b for a, b in zip(*balls)) and max(map(len, balls[0])) <= 16
+
+
+def test_texts_just_similar_enough_are_found_whatever_their_fingerprints(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(200):
+        size = rng.choice([30, 60, 200])
+        words = [f"w{rng.randrange(9000)}" for _ in range(size)]
+        edited = list(words)
+        for at in range(len(words)):  # edits, from the end on, while the pair stays similar enough
+            trial = list(edited)
+            trial[-1 - at] = f"own{k}x{at}"
+            if len(shingles(" ".join(words)) & shingles(" ".join(trial))) < 0.8 * len(shingles(" ".join(words)) | shingles(" ".join(trial))):
+                break
+            edited = trial
+        # Something that many texts begin or end with alike.
+        shared = " ".join(f"c{j}" for j in range(12))
+        rows += [(2 * k, shared + " " + " ".join(words)), (2 * k + 1, shared + " " + " ".join(edited))]
+    assert classes(similar.similar_texts(documents(spark, [(d, t, "en", "a") for d, t in rows]))) == exact_classes(rows)

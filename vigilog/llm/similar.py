@@ -17,6 +17,14 @@ are far from each other. Candidates are checked by their exact similarity from w
 texts, first each text with its smallest partner, then all that are still in
 different components.
 
+What anchors left to chance is then sought exactly, among texts still in different
+components. Two texts of similarity 0.8 share at least 80 % of the shingles of either, so
+if all put their shingles in one order, the first 20 % of each and SHARED more have at
+least SHARED in common (all of them, in texts with fewer). Texts that share as many of
+these, and whose sizes and parities of shingles in bins allow 0.8, are checked as above. The order is by hash, with
+shingles that many such texts have put last, which leaves few texts to a shingle; any order
+gives the same pairs that are similar enough.
+
 Equal texts are one node. Null and empty texts have no shingles and are similar to each
 other; a text with fewer than five words has its whole sequence as its one shingle. A
 very long text is worked on alone, a stretch of shingles at a time. Null ids sort last.
@@ -40,6 +48,13 @@ from vigilog.llm.words import Words, groups, mix, powers, texts_of
 SHINGLE = 5
 SIMILARITY = 0.8
 BLOCKS = 12
+#: Shingles that the beginnings of two similar texts have in common.
+SHARED = 4
+#: Texts that have a shingle in their beginnings from which on it is put last, and how many such shingles are.
+OFTEN = 16
+_LAST = 100_000
+#: Numbers of 64 bits that tell how many shingles fall into each of as many bins, odd or even.
+PARITIES = 8
 #: Differing bits of 64 up to which two texts at an anchor are compared exactly.
 NEAR_BITS = 18
 
@@ -72,6 +87,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def beginning(shingles: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set in the common order: by hash, those of `last` (sorted) at the end."""
+    keep = len(shingles) - (4 * len(shingles) + 4) // 5 + SHARED
+    if last is not None and len(last):
+        often = last[np.minimum(np.searchsorted(last, shingles), len(last) - 1)] == shingles
+        shingles = np.concatenate([shingles[~often], shingles[often]])
+    return shingles[:keep]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """A bit per bin of shingles, set if an odd number is in it: two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _per_text(texts: list[str | None]) -> Iterator[np.ndarray]:
     found = Words(texts)
     edges = np.searchsorted(found.owner, np.arange(len(texts) + 1))
@@ -108,6 +138,7 @@ def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _print_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     # Copies met in one task need their fingerprints once; forgetting some only costs time.
     seen: dict[int, np.ndarray] = {}
+    starts: dict[int, tuple] = {}
     for frame in groups(batches):
         if len(seen) > _SEEN:
             seen.clear()
@@ -115,9 +146,24 @@ def _print_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new = frame[[n not in seen for n in nodes]].drop_duplicates("node")
         for node, shingles in zip(new["node"].tolist(), _per_text(texts_of(new))):
             seen[node] = fingerprints(shingles).view(np.int64)
+            starts[node] = len(shingles), beginning(shingles).view(np.int64), parities(shingles)
         if nodes:
             prints = np.stack([seen[n] for n in nodes])
-            yield frame[["none", "doc_id", "node"]].assign(**{f"p{k}": prints[:, k] for k in range(prints.shape[1])})
+            # A task tells a text's beginning once.
+            told = [starts.pop(n, (None, None, None)) for n in nodes]
+            yield frame[["none", "doc_id", "node"]].assign(
+                size=pd.array([t[0] for t in told], "Int64"), start=pd.Series([t[1] for t in told], frame.index, object),
+                odd=pd.Series([t[2] for t in told], frame.index, object), **{f"p{k}": prints[:, k] for k in range(prints.shape[1])})
+
+
+def _begun_anew(last: np.ndarray):
+    """A function over texts: their beginnings with the shingles of `last` put last."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in groups(batches):
+            sets = list(_per_text(texts_of(frame)))
+            if sets:
+                yield pd.DataFrame({"node": frame["node"].to_numpy(), "size": [len(x) for x in sets], "start": [beginning(x, last).view(np.int64) for x in sets]})
+    return run
 
 
 def _around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,17 +212,50 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[good, ["a", "b"]]
 
 
-def _similar(named: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of texts, given by their hashes, whose exact similarity is high enough; saved."""
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+def _texts(named: DataFrame, prints: DataFrame, ends: DataFrame) -> DataFrame:
+    """`node` and `text` of the nodes of `ends`; saved."""
     first = prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("none", "doc_id")).alias("at"))
     first = saved(first.select(F.col("at.none").alias("in_none"), F.col("at.doc_id").alias("in_doc"), F.col("node").alias("in_node")), "similar-places")
     here = (named["none"] == first["in_none"]) & (named["doc_id"] == first["in_doc"]) & (named["node"] == first["in_node"])
-    texts = saved(matched(named, first, here, "inner").select("node", "text").dropDuplicates(["node"]), "similar-texts")
+    return saved(matched(named, first, here, "inner").select("node", "text").dropDuplicates(["node"]), "similar-texts")
+
+
+def _similar(named: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of texts, given by their hashes, whose exact similarity is high enough; saved."""
+    texts = _texts(named, prints, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.withColumnRenamed("node", "b"), "b")
     return saved(both.select("a", "b", "text_a", "text").mapInPandas(_checked, _LINK), "similar-links")
 
 
+def _apart(starts: DataFrame) -> DataFrame:
+    """`key`, `node`, `root`, `size`, `odd` of the shingles in beginnings of texts of several components."""
+    rows = starts.select("node", "root", "size", "odd", F.explode("start").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return rows.join(shared, "key", "left_semi")
+
+
+def _missed(named: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs of texts of different components that may be similar enough; saved."""
+    starts = prints.where("size > 0").select("node", "size", "start", "odd").dropDuplicates(["node"]).join(roots, "node", "left")
+    starts = saved(starts.select("node", F.coalesce("component", "node").alias("root"), "size", "start", "odd"), "similar-starts")
+    rows = saved(_apart(starts), "similar-apart")
+    often = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN).orderBy(F.desc("n"), "key").limit(_LAST).select("key")
+    last = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
+    if len(last):
+        # A beginning without any of these shingles stays as it is.
+        ends = saved(rows.join(F.broadcast(often), "key", "left_semi").select("node").distinct(), "similar-often")
+        anew = _texts(named, prints, ends).mapInPandas(_begun_anew(last), "node long, size long, start array<long>").join(starts.select("node", "root", "odd"), "node")
+        starts = starts.join(ends, "node", "left_anti").unionByName(anew)
+        rows = saved(_apart(starts), "similar-apart")
+    a, b = (rows.select("key", *[F.col(n).alias(f"{n}_{c}") for n in ("node", "root", "size", "odd")]) for c in "ab")
+    apart = sum(F.bit_count(F.col("odd_a")[k].bitwiseXOR(F.col("odd_b")[k])) for k in range(PARITIES))
+    # Sets of similarity 0.8 differ in at most a ninth of both sizes.
+    fits = (F.col("root_a") < F.col("root_b")) & (9 * apart <= F.col("size_a") + F.col("size_b")) & (5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b"))
+    met = a.join(b, "key").where(fits).groupBy("node_a", "node_b").agg(F.count("*").alias("n"), F.first(F.greatest("size_a", "size_b")).alias("size"))
+    enough = F.col("n") >= F.least(F.lit(SHARED), F.ceil(4 * F.col("size") / 5))
+    return saved(met.where(enough).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), "similar-missed")
+
+
 def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """`none` (whether the id is null), `doc_id` (0 then), `node` (the text's hash) and `component` per row of `docs`."""
     small_batches(docs.sparkSession)
@@ -184,9 +263,9 @@ def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     named = docs.select(
         number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("node"), F.col(f"`{text}`").alias("text"))
     columns = ", ".join(f"p{k} long" for k in range(len(_SALTS)))
-    prints = saved(named.mapInPandas(_print_rows, f"none boolean, doc_id long, node long, {columns}"), "similar-prints")
+    prints = saved(named.mapInPandas(_print_rows, f"none boolean, doc_id long, node long, size long, start array<long>, odd array<long>, {columns}"), "similar-prints")
     # Texts of equal first fingerprints are one point, and candidates with the first of them.
-    texts = prints.drop("none", "doc_id").dropDuplicates(["node"])
+    texts = prints.drop("none", "doc_id", "size", "start", "odd").dropDuplicates(["node"])
     points = saved(texts.groupBy("p0").agg(F.min(F.struct("node", *[f"p{k}" for k in range(1, len(_SALTS))])).alias("of")).select("p0", "of.*"), "similar-points")
     balls = points.drop("node").mapInPandas(_around, "key long, value long").repartition("key").sortWithinPartitions("key", "value")
     near = saved(balls.mapInPandas(_candidates, _LINK).distinct(), "similar-near")
@@ -204,7 +283,11 @@ def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     rest = pairs.join(nearest, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
     rest = saved(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "similar-rest")
-    roots = components(links.unionAll(_similar(named, prints, rest)))
+    links = links.unionAll(_similar(named, prints, rest))
+    roots = saved(components(links), "similar-roots")
+    missed = _missed(named, prints, roots)
+    if not missed.isEmpty():
+        roots = components(links.unionAll(_similar(named, prints, missed)))
     found = prints.select("none", "doc_id", "node").join(roots, "node", "left")
     return found.select("none", "doc_id", "node", F.coalesce("component", "node").alias("component"))
 
