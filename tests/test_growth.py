@@ -62,3 +62,31 @@ def test_a_walk_writes_each_row_once_and_passes_merges(spark, tmp_path, monkeypa
     rows = spark.read.parquet(str(walk[0])).select("id", "sha")
     assert rows.count() == rows.distinct().count()
     assert len(list(tmp_path.iterdir())) == 2  # parents, and the rows of all rounds
+
+
+def test_gates_before_costly_rules_change_nothing(spark):
+    """What is looked for first is in every text that the rule behind it finds."""
+    import re
+
+    from pyspark.sql import functions as F
+    from vigilog.functions import predicates as P, redaction as R
+    paths = [".env", ".env.local", "a/b.pem", "x.key", "id_rsa", "/h/.ssh/id", ".aws", "k/.gnupg/", "credentials", "credentials.json", "Secrets.yaml", ".npmrc", ".env.example", "environment", "main.ts"]
+    rows = [(f"cat {a}{p}{b} | wc", p) for p in paths for a, b in (("", ""), ("'", "'"), ("@", ""))]
+    got = spark.createDataFrame(rows, "command string, path string").select(
+        "path", P.first_sensitive_token(F.col("command")).alias("found"), P.is_sensitive_path(F.col("path")).alias("is")).collect()
+    assert len({r["path"] for r in got if r["is"]}) == 12 and all((r["found"] == r["path"]) == r["is"] and (r["found"] is None) != r["is"] for r in got)
+    texts = ["see http://user:hunter2@h/x", "HTTPS://u:pw@h " + "x" * 3000, "a://b", "x" * 3000, None]
+    out = R.redact_text(spark.createDataFrame([(t,) for t in texts], "t string"), "t").select("t", "redacted").collect()
+    assert [r["redacted"] != r["t"] for r in out[:4]] == [True, True, False, False] and "hunter2" not in out[0]["redacted"] and out[4]["redacted"] is None
+    # Every rule is either looked for in `suspect` or has its own fixed text in its pattern.
+    assert all(re.escape(s.needs) in re.escape(s.pattern) for s in R.stages() if s.needs)
+
+
+def test_refused_decisions_do_not_have_their_notes_redacted(spark):
+    from vigilog.operators import review as W
+    items = spark.createDataFrame([("s", "k")], "session_id string, key string")
+    heads = spark.createDataFrame([("s", 9, "h")], "session_id string, head_seq long, head_hash string")
+    sent = spark.createDataFrame([("r1", "s", "k", "expected", " token=abcdef123 ", "t"), ("r2", "s", "gone", "expected", "token=abcdef123", "t")],
+                                 "review_id string, session_id string, key string, disposition string, note string, created_at string")
+    rows = {r["review_id"]: r for r in W.accept_reviews(sent, items, heads).collect()}
+    assert rows["r1"]["note"] == "token=[REDACTED:assigned-secret]" and rows["r2"]["note"] is None and rows["r2"]["refusal"] == "not-current"
