@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilog.llm.common import fresh, matched, saved, small_batches
@@ -212,12 +212,17 @@ def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[good, ["a", "b"]]
 
 
-def _texts(named: DataFrame, prints: DataFrame, ends: DataFrame) -> DataFrame:
-    """`node` and `text` of the nodes of `ends`; saved."""
+def _placed(named: DataFrame, prints: DataFrame, ends: DataFrame) -> DataFrame:
+    """`node` and `text` of the nodes of `ends`, each from its first place; rows of one id and text stay repeated."""
     first = prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("none", "doc_id")).alias("at"))
     first = saved(first.select(F.col("at.none").alias("in_none"), F.col("at.doc_id").alias("in_doc"), F.col("node").alias("in_node")), "similar-places")
     here = (named["none"] == first["in_none"]) & (named["doc_id"] == first["in_doc"]) & (named["node"] == first["in_node"])
-    return saved(matched(named, first, here, "inner").select("node", "text").dropDuplicates(["node"]), "similar-texts")
+    return matched(named, first, here, "inner").select("node", "text")
+
+
+def _texts(named: DataFrame, prints: DataFrame, ends: DataFrame) -> DataFrame:
+    """`node` and `text` of the nodes of `ends`; saved."""
+    return saved(_placed(named, prints, ends).dropDuplicates(["node"]), "similar-texts")
 
 
 def _similar(named: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -228,25 +233,35 @@ def _similar(named: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def _apart(starts: DataFrame) -> DataFrame:
-    """`key`, `node`, `root`, `size`, `odd` of the shingles in beginnings of texts of several components."""
-    rows = starts.select("node", "root", "size", "odd", F.explode("start").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return rows.join(shared, "key", "left_semi")
+    """`key`, `node`, `root`, `size` of the shingles in beginnings of texts of several components; the one shuffle of all beginnings carries these four only."""
+    rows = starts.select("node", "root", "size", F.explode("start").alias("key")).repartition("key")
+    whole = Window.partitionBy("key")
+    rows = rows.select("*", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high")).where("low <> high")
+    return rows.select("key", "node", "root", "size").dropDuplicates(["key", "node"])
 
 
 def _missed(named: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
     """All pairs of texts of different components that may be similar enough; saved."""
-    starts = prints.where("size > 0").select("node", "size", "start", "odd").dropDuplicates(["node"]).join(roots, "node", "left")
-    starts = saved(starts.select("node", F.coalesce("component", "node").alias("root"), "size", "start", "odd"), "similar-starts")
-    rows = saved(_apart(starts), "similar-apart")
+    told = prints.where("size > 0")
+    named_roots = roots.select(F.col("node").alias("of"), "component")
+
+    def rooted(starts: DataFrame) -> DataFrame:
+        both = matched(starts, named_roots, starts["node"] == named_roots["of"], "left")
+        return both.select("node", F.coalesce("component", "node").alias("root"), "size", "start")
+
+    starts = told.select("node", "size", "start")
+    rows = saved(_apart(rooted(starts)), "similar-apart")
     often = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN).orderBy(F.desc("n"), "key").limit(_LAST).select("key")
     last = np.sort(np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64))
     if len(last):
         # A beginning without any of these shingles stays as it is.
         ends = saved(rows.join(F.broadcast(often), "key", "left_semi").select("node").distinct(), "similar-often")
-        anew = _texts(named, prints, ends).mapInPandas(_begun_anew(last), "node long, size long, start array<long>").join(starts.select("node", "root", "odd"), "node")
-        starts = starts.join(ends, "node", "left_anti").unionByName(anew)
-        rows = saved(_apart(starts), "similar-apart")
+        anew = _placed(named, prints, ends).mapInPandas(_begun_anew(last), "node long, size long, start array<long>")
+        of = ends.select(F.col("node").alias("of"))
+        starts = matched(starts, of, starts["node"] == of["of"], "left_anti").unionByName(anew)
+        rows = _apart(rooted(starts))
+    # Parities are wide, so they join the few rows that are left.
+    rows = saved(rows.join(told.select("node", "odd").dropDuplicates(["node"]), "node"), "similar-apart")
     a, b = (rows.select("key", *[F.col(n).alias(f"{n}_{c}") for n in ("node", "root", "size", "odd")]) for c in "ab")
     apart = sum(F.bit_count(F.col("odd_a")[k].bitwiseXOR(F.col("odd_b")[k])) for k in range(PARITIES))
     # Sets of similarity 0.8 differ in at most a ninth of both sizes.
