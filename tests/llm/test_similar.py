@@ -123,3 +123,27 @@ def test_texts_just_similar_enough_are_found_whatever_their_fingerprints(spark):
         shared = " ".join(f"c{j}" for j in range(12))
         rows += [(2 * k, shared + " " + " ".join(words)), (2 * k + 1, shared + " " + " ".join(edited))]
     assert classes(similar.similar_texts(documents(spark, [(d, t, "en", "a") for d, t in rows]))) == exact_classes(rows)
+
+
+def test_later_links_are_followed_between_components_only(spark, monkeypatch):
+    followed = []
+    kept = similar.components
+    monkeypatch.setattr(similar, "components", lambda links: followed.append(links.count()) or kept(links))
+    # Two groups of copies of a text, one with an edit, tied by one text between them.
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(base[:-1] + [f"own{k}"])) for k in range(60)]
+    assert len(set(classes(similar.similar_texts(documents(spark, [(d, t, "en", "a") for d, t in rows]))).values())) == 1
+    assert len(followed) >= 2 and followed[0] >= 50 > 10 >= max(followed[1:])
+
+
+def test_components_with_further_links_are_those_of_all_links(spark):
+    rng = random.Random(2)
+    pairs = [[(rng.randrange(300), rng.randrange(300)) for _ in range(n)] for n in (150, 60, 40)]
+    made = [spark.createDataFrame(p, "a long, b long") for p in pairs]
+    roots = similar.saved(similar.components(made[0]), "roots")
+    for links in made[1:]:
+        roots = similar._tied(roots, links)
+    got = [tuple(r) for r in roots.collect()]
+    want = [tuple(r) for r in similar.components(made[0].unionAll(made[1]).unionAll(made[2])).collect()]
+    # A text linked to itself alone is its own component in either form, told or not.
+    assert len(got) == len(set(got)) and sorted(got) == sorted(want)

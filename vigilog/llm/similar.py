@@ -271,6 +271,17 @@ def _missed(named: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
     return saved(met.where(enough).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), "similar-missed")
 
 
+def _tied(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """`node` and `component` of saved `roots` with further `links` taken in; saved. Only components that these tie together are followed, not their texts."""
+    for end in "ab":
+        of = roots.select(F.col("node").alias("of"), "component")
+        links = matched(links, of, links[end] == of["of"], "left").withColumn(end, F.coalesce("component", end)).drop("of", "component")
+    ties = saved(components(links), "similar-ties")
+    of = ties.select(F.col("node").alias("of"), F.col("component").alias("now"))
+    held = matched(roots, of, roots["component"] == of["of"], "left").select("node", F.coalesce("now", "component").alias("component"))
+    return saved(held.unionByName(ties.join(roots, "node", "left_anti")), "similar-roots")
+
+
 def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """`none` (whether the id is null), `doc_id` (0 then), `node` (the text's hash) and `component` per row of `docs`."""
     small_batches(docs.sparkSession)
@@ -298,11 +309,10 @@ def _found(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     rest = pairs.join(nearest, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
     rest = saved(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "similar-rest")
-    links = links.unionAll(_similar(named, prints, rest))
-    roots = saved(components(links), "similar-roots")
+    roots = _tied(roots, _similar(named, prints, rest))
     missed = _missed(named, prints, roots)
     if not missed.isEmpty():
-        roots = components(links.unionAll(_similar(named, prints, missed)))
+        roots = _tied(roots, _similar(named, prints, missed))
     found = prints.select("none", "doc_id", "node").join(roots, "node", "left")
     return found.select("none", "doc_id", "node", F.coalesce("component", "node").alias("component"))
 
