@@ -187,6 +187,30 @@ def lexicon(counts: DataFrame, ends: int) -> Lexicon:
     return book
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _column_sums(x: np.ndarray) -> np.ndarray:
+    return np.ones(len(x), x.dtype) @ x
+
+
+def sums_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and the sum of each one's rows."""
+    order = np.argsort(ids.astype(np.int16) if not len(ids) or ids.max() < 1 << 15 else ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    return ids[first], np.add.reduceat(rows.take(order, axis=0), first, axis=0) if len(ids) else rows[:0]
+
+
+def _sigmoid(x: np.ndarray) -> None:
+    """In place; what overflows has the right limit, 0."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 def log_sums(logits: np.ndarray, bound: float) -> np.ndarray:
     """log of the sum of exp of each row, in place. States lie within -1 and 1, so `bound` on the logits shows that nothing can overflow."""
     top = np.zeros(len(logits), logits.dtype)
@@ -194,7 +218,7 @@ def log_sums(logits: np.ndarray, bound: float) -> np.ndarray:
         top = logits.max(axis=1)
         logits -= top[:, None]
     np.exp(logits, out=logits)
-    return np.log(logits.sum(axis=1)) + top
+    return np.log(_row_sums(logits)) + top
 
 
 def _exp(logits: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +226,7 @@ def _exp(logits: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
     if not bound < 80:
         logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    return logits, logits.sum(axis=1)
+    return logits, _row_sums(logits)
 
 
 class Network:
@@ -245,10 +269,7 @@ class Network:
         a += self.b
         k = HIDDEN
         gates = a[:, :2 * k] + v[:, :2 * k]
-        gates *= 0.5
-        np.tanh(gates, out=gates)
-        gates += 1
-        gates *= 0.5
+        _sigmoid(gates)
         z, r = gates[:, :k], gates[:, k:]
         n = r * v[:, 2 * k:]
         n += a[:, 2 * k:]
@@ -272,15 +293,21 @@ class Network:
             out[tile] = own - log_sums(logits, bound)
         rows, cuts = self._by_class(classes, word)
         mine, slots, added = h.take(rows, axis=0), self.slot[symbols[rows]], np.empty(len(rows), np.float32)
+        bounds = self._bounds()
         for c, begin, end in cuts:
             own, part = slice(self.begin[c], self.begin[c + 1]), slice(begin, end)
             inner = mine[part] @ self.o[own].T
             inner += self.ob[own]
             wanted = inner[np.arange(end - begin), slots[part] - self.begin[c]]
-            added[part] = wanted - log_sums(inner, (np.abs(self.o[own]).sum(axis=1) + np.abs(self.ob[own])).max())
+            added[part] = wanted - log_sums(inner, bounds[c])
         out[rows] += added
         return out
 
+    def _bounds(self) -> np.ndarray:
+        """The most that logits inside each class can come to."""
+        most = _row_sums(np.abs(self.o)) + np.abs(self.ob)
+        return np.maximum.reduceat(most, self.begin[:-1]) if len(most) else most
+
     def _by_class(self, classes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """The places of frequent words, class by class, and each class with its part of them; a class of one word has nothing left to predict."""
         at = np.flatnonzero(word & (np.diff(self.begin, append=0) > 1)[np.where(word, classes, 0)])
@@ -352,10 +379,7 @@ class Network:
             before[t][fresh[:, t]] = 0
             v = before[t] @ self.u
             g = np.add(inputs[t, :, :2 * k], v[:, :2 * k], out=gates[t])
-            g *= 0.5
-            np.tanh(g, out=g)
-            g += 1
-            g *= 0.5
+            _sigmoid(g)
             mixed[t] = v[:, 2 * k:]
             n = np.multiply(g[:, k:], mixed[t], out=news[t])
             n += inputs[t, :, 2 * k:]
@@ -379,21 +403,21 @@ class Network:
             p *= (scale / sums)[:, None]
             p[np.arange(len(p)), classes[tile]] -= scale
             grad_c += states[tile].T @ p
-            grad_cb += p.sum(axis=0)
+            grad_cb += _column_sums(p)
             np.matmul(p, self.c.T, out=down[tile])
         grad_o, grad_ob = np.zeros_like(self.o), np.zeros_like(self.ob)
         rows, cuts = self._by_class(classes, word)
         mine, slots = states.take(rows, axis=0), self.slot[wanted[rows]]
-        inner = np.empty_like(mine)
+        inner, bounds = np.empty_like(mine), self._bounds()
         for c, begin, end in cuts:
             own, part = slice(self.begin[c], self.begin[c + 1]), slice(begin, end)
             q = mine[part] @ self.o[own].T
             q += self.ob[own]
-            q, sums = _exp(q, (np.abs(self.o[own]).sum(axis=1) + np.abs(self.ob[own])).max())
+            q, sums = _exp(q, bounds[c])
             q *= (scale / sums)[:, None]
             q[np.arange(end - begin), slots[part] - self.begin[c]] -= scale
             np.matmul(q.T, mine[part], out=grad_o[own])
-            q.sum(axis=0, out=grad_ob[own])
+            grad_ob[own] = _column_sums(q)
             np.matmul(q, self.o[own], out=inner[part])
         down[rows] += inner
         if not every:
@@ -418,11 +442,8 @@ class Network:
             back += v @ turned
             back[fresh[:, t]] = 0
         flat = grad_a.reshape(-1, 3 * k)
-        grad_u, grad_b = before.reshape(-1, k).T @ grad_v.reshape(-1, 3 * k), flat.sum(axis=0)
-        seen = np.bincount(heard, minlength=len(self.x)) > 0
-        ids, places = np.flatnonzero(seen), (np.cumsum(seen) - 1)[heard]
-        cells = (places[:, None] * (3 * k) + np.arange(3 * k)).ravel()
-        grad_x = np.bincount(cells, flat.ravel(), len(ids) * 3 * k).reshape(-1, 3 * k).astype(np.float32)
+        grad_u, grad_b = before.reshape(-1, k).T @ grad_v.reshape(-1, 3 * k), _column_sums(flat)
+        ids, grad_x = sums_by(heard, flat)
         norm = math.sqrt(sum(float(np.vdot(g, g)) for g in (grad_x, grad_u, grad_c, grad_o)))
         clip = np.float32(min(1.0, 5.0 / max(norm, 1e-9)))
         squares[0][ids] += (grad_x * clip) ** 2

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 
 #: Characters of texts that are worked on together; a longer text is worked on alone.
 GROUP_CHARS = 1 << 20
+#: Numbers hashed together up to which tables of powers are kept, two times 16 MB.
+_POWERS = 1 << 21
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,12 +26,23 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(max(0, n - 1), base, np.uint64))])[:max(1, n)]
 
 
+@lru_cache(maxsize=4)
+def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    return powers(np.uint64(base), n), powers(np.uint64(pow(base, -1, 1 << 64)), n)
+
+
 def sequence_hash(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: np.uint64) -> np.ndarray:
     """A hash of each stretch of numbers, from all of them in order and their count; stretches follow each other without gaps."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(values)) - np.repeat(starts, sizes)
-    sums = np.add.reduceat(values * powers(base, int(sizes.max()))[place], starts)
+    if len(values) > _POWERS:
+        place = np.arange(len(values)) - np.repeat(starts, sizes)
+        sums = np.add.reduceat(values * powers(base, int(sizes.max()))[place], starts)
+    else:
+        # The same sums: powers run on through all stretches, and each stretch's first is divided out.
+        up, down = _tables(int(base), 1 << max(16, (len(values) - 1).bit_length()))
+        sums = np.add.reduceat(values * up[:len(values)], starts) * down[starts]
     return mix(sums + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
