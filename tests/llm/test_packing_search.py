@@ -122,3 +122,12 @@ def test_search_with_ties_and_bad_vectors(spark):
     assert sorted(map(tuple, topk.top_k(few).collect())) == [
         (0, 1, 1, 524288), (0, 2, 2, 262144), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 0, 0), (100, 3, 1, 0), (100, 4, 2, 0)]
     assert topk.top_k(few.limit(0)).count() == 0
+
+
+def test_query_blocks_for_all_stripes_are_not_broadcast(spark):
+    # Their file is small, the copies that are read from it are 96 times as many.
+    df = spark.range(3000).selectExpr("id as vec_id", "transform(sequence(1, 8), x -> cast(sin(id * x) as float)) as embedding")
+    found = topk.top_k(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert found.count() == 300

@@ -197,10 +197,11 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     start = asked.withColumn("one", F.lit(1)).join(F.broadcast(first.withColumn("one", F.lit(1))), "one").withColumn("floors", F.lit(None).cast("binary"))
     columns = ["q_ids", "q_data", "q_longest", "ids", "data", "floors"]
     seeded = saved(start.select(*columns).mapInPandas(meet, "q_ids binary, q_data binary, q_longest double, floors binary, least double"), "query-floors")
-    # Every block of queries goes to every stripe of blocks of candidates; no row of either is paired outside them.
+    # Every block of queries goes to every stripe of blocks of candidates; no row of either is paired outside them. Both sides
+    # are shuffled: copies for all stripes are far larger than the file they are made from, by which a broadcast would be chosen.
     spread = seeded.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(STRIPES - 1))))
     striped = blocks.withColumn("stripe", F.pmod(F.xxhash64("ids"), F.lit(STRIPES)).cast("int"))
-    pairs = striped.join(spread, "stripe").where(F.col("longest") * F.col("q_longest") * (1 + 1e-9) + 1 >= F.col("least"))
+    pairs = striped.join(spread.hint("merge"), "stripe").where(F.col("longest") * F.col("q_longest") * (1 + 1e-9) + 1 >= F.col("least"))
     best = pairs.select(*columns).mapInPandas(meet, out)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
