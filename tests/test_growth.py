@@ -127,3 +127,21 @@ def test_flags_of_a_folded_post_reach_its_pre(spark):
     got = {r["seq"]: (r["post_seq"], r["phase"], r["outcome"], r["score"], sorted(r["signals"]), r["notes"], r["redaction_count"]) for r in A.pair_actions(events, flags).collect()}
     assert got == {1: (2, "post", "succeeded", 7, ["a", "b"], ["n"], 2), 3: (None, "post", "succeeded", 3, ["c"], [], 1),
                    4: (None, "post", "failed", 4, [], ["m"], 1), 5: (None, "failure", "failed", 0, [], [], 1), 6: (None, "pre", "attempted", 0, [], [], 1)}
+
+
+def test_trace_joins_are_not_broadcast_by_file_size(spark, monkeypatch):
+    from vigilog.operators import graph
+    nodes = spark.createDataFrame([("s", f"p:{k}", "prompt", "t", k, k == 3) for k in range(9)], "session_id string, id string, kind string, label string, seq bigint, risk boolean")
+    edges = spark.createDataFrame([("s", f"p:{a}", f"p:{b}") for a, b in ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 4), (5, 2), (7, 8))], "session_id string, src string, dst string")
+    findings = spark.createDataFrame([], "session_id string, combo string, severity string")
+    turns = spark.createDataFrame([("s", str(k), k, 0, 0) for k in range(9)], "session_id string, turn_id string, files int, commits int, flagged int")
+    plans = []
+    kept = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    near = graph.neighbourhood(edges, graph.default_roots(nodes, findings, turns))
+    plans.append(near._jdf.queryExecution().executedPlan().toString())
+    assert {r["id"] for r in near.collect()} == {"p:8", "p:7"}
+    assert {r["id"] for r in graph.neighbourhood(edges, nodes.where("seq = 3").select("session_id", "id")).collect()} == {f"p:{k}" for k in (1, 2, 3, 4, 5)}
+    begun = len(plans)
+    assert {r["id"] for r in graph.tainted(nodes, edges).collect()} == {f"p:{k}" for k in range(6)}
+    assert len(plans) - begun < 10 and not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)

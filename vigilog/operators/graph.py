@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,12 +11,18 @@ from vigilog.functions import fixed_values as V
 from vigilog.functions.lists import basename, lookup, one_line
 from vigilog.functions.wording import churn_label, plural
 from vigilog.operators.ordered import carry_last
-from vigilog.session import cut_lineage
+from vigilog.session import cut_lineage, stored
 
 NODE = ["session_id", "id"]
 AGGREGATE_MIN = 3
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the number of sessions. Their files are far smaller than their rows in memory,
+    so neither is left to be broadcast by the size of its files."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def directory(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     return F.when(F.size(parts) >= 2, F.concat(F.try_element_at(parts, F.lit(-2)), F.lit("/"))).otherwise("./")
@@ -33,7 +40,7 @@ def actor_steps(rows: DataFrame, findings: DataFrame) -> DataFrame:
     ).select("session_id", "x.*").groupBy("session_id", "seq").agg(F.max("effect").alias("effect"))
     steps = rows.filter(F.col("role") == "step")
     post = cited.withColumnRenamed("seq", "post_seq").withColumnRenamed("effect", "post_effect")
-    marked = steps.join(cited, ["session_id", "seq"], "left").join(post, ["session_id", "post_seq"], "left")
+    marked = shuffled(shuffled(steps, cited, ["session_id", "seq"], "left"), post, ["session_id", "post_seq"], "left")
     acts = F.col("effect").isNotNull() | F.col("post_effect").isNotNull() | (F.size("signals") > 0) | (
         F.col("is_subagent") & (F.col("tool") == "Task"))
     return marked.filter(acts).withColumn(
@@ -60,11 +67,11 @@ def trace(rows: DataFrame, turns: DataFrame, files: DataFrame, commits: DataFram
     caused = actors.filter(~c("is_effect")).select("session_id", prompt_id(c("turn_id")).alias("src"), step_id.alias("dst"), lit("caused").alias("rel"))
     where = actors.select("session_id", F.explode(F.array_compact(F.array("seq", "post_seq"))).alias("seq"), step_id.alias("step"))
 
-    made = files.filter(c("turn_id").isNotNull()).join(where, ["session_id", "seq"], "left").select(
+    made = shuffled(files.filter(c("turn_id").isNotNull()), where, ["session_id", "seq"], "left").select(
         "session_id", F.coalesce("step", prompt_id(c("turn_id"))).alias("parent"), "path", "seq", "skipped", "insertions", "deletions")
     made = made.withColumn("dir", directory(c("path")))
     sizes = made.groupBy("session_id", "parent", "dir").agg(F.count(lit(1)).alias("n"))
-    made = made.join(sizes, ["session_id", "parent", "dir"])
+    made = shuffled(made, sizes, ["session_id", "parent", "dir"])
     single, grouped = made.filter(c("n") < AGGREGATE_MIN), sizes.filter(c("n") >= AGGREGATE_MIN)
     file_id = F.concat(lit("f:"), c("parent"), lit(":"), c("path"))
     dir_id = F.concat(lit("d:"), c("parent"), lit(":"), c("dir"))
@@ -88,8 +95,8 @@ def trace(rows: DataFrame, turns: DataFrame, files: DataFrame, commits: DataFram
     owner = rows.filter(c("role") == "step").select("session_id", F.explode(F.array_compact(F.array("seq", "post_seq"))).alias("at"),
                                                    "turn_id", step_id.alias("step"))
     side = lambda name: owner.select("session_id", c("at").alias(f"{name}_seq"), c("turn_id").alias(f"{name}_turn"), c("step").alias(f"{name}_step"))
-    placed = findings.join(side("antecedent"), ["session_id", "antecedent_seq"], "left").join(
-        side("consequent"), ["session_id", "consequent_seq"], "left").filter(
+    placed = shuffled(shuffled(findings, side("antecedent"), ["session_id", "antecedent_seq"], "left"),
+                      side("consequent"), ["session_id", "consequent_seq"], "left").filter(
         c("antecedent_turn").isNotNull() | c("consequent_turn").isNotNull())
     finding_id, host_id, server_id = (F.concat(lit(p), c("combo")) for p in ("F:", "h:", "m:"))
     label = F.when(c("combo") == "exfil-chain", "exfil chain").when(c("combo").startswith("injected"), "injected instruction").when(
@@ -131,7 +138,7 @@ def expand_directories(files: DataFrame, rows: DataFrame, findings: DataFrame, o
 def root_options(nodes: DataFrame, findings: DataFrame) -> DataFrame:
     """Candidate roots: findings by severity, then turns in order."""
     severity = findings.select("session_id", F.concat(F.lit("F:"), "combo").alias("id"), "severity")
-    return nodes.filter(F.col("kind").isin("finding", "prompt")).join(severity, NODE, "left").select(
+    return shuffled(nodes.filter(F.col("kind").isin("finding", "prompt")), severity, NODE, "left").select(
         *NODE, "kind", F.when(F.col("kind") == "finding", F.concat("label", F.lit(" · "), "severity")).otherwise(F.col("label")).alias("label"),
         F.when(F.col("kind") == "finding", F.coalesce(lookup(V.SEVERITY_RANK, F.col("severity")), F.lit(3))).otherwise(9).alias("rank"), "seq")
 
@@ -140,7 +147,7 @@ def default_roots(nodes: DataFrame, findings: DataFrame, turns: DataFrame) -> Da
     """Top finding of each session, else its turn with the most outcomes."""
     worth = turns.select("session_id", prompt_id(F.col("turn_id")).alias("id"),
                          (F.col("files") + 2 * F.col("commits") + 3 * F.col("flagged")).alias("worth"))
-    options = root_options(nodes, findings).join(worth, NODE, "left")
+    options = shuffled(root_options(nodes, findings), worth, NODE, "left")
     order = F.struct("rank", -F.coalesce("worth", F.lit(0)), F.coalesce("seq", F.lit(0)), "id")
     return options.groupBy("session_id").agg(F.min_by("id", order).alias("id"))
 
@@ -148,34 +155,39 @@ def default_roots(nodes: DataFrame, findings: DataFrame, turns: DataFrame) -> Da
 def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     """Nodes within `depth` causal hops of their session's root, in both directions.
 
-    All sessions advance together; one equi join per hop and direction.
+    All sessions advance together; one equi join per hop and direction. Roots are worked out once.
     """
-    def walk(src: str, dst: str) -> DataFrame:
-        links = edges.select("session_id", F.col(src).alias("id"), F.col(dst).alias("next")).distinct()
-        front = seen = roots.select(*NODE)
+    roots = stored(roots.select(*NODE), "roots")
+
+    def walk(src: str, dst: str) -> list[DataFrame]:
+        links = edges.select("session_id", F.col(src).alias("id"), F.col(dst).alias("next"))
+        fronts = [roots]
         for hop in range(depth):
-            front = front.join(links, NODE).select("session_id", F.col("next").alias("id")).distinct().join(seen, NODE, "left_anti")
-            seen = seen.unionByName(front)
-            if hop % 3 == 2:
-                front, seen = cut_lineage(front), cut_lineage(seen)
-        return seen
+            # The distinct nodes lie as the next hop joins them.
+            front = shuffled(fronts[-1], links, NODE).select("session_id", F.col("next").alias("id")).distinct()
+            fronts.append(cut_lineage(front) if hop % 3 == 2 else front)
+        return fronts[1:]
 
-    return walk("dst", "src").unionByName(walk("src", "dst")).distinct()
+    return reduce(DataFrame.unionByName, [roots, *walk("dst", "src"), *walk("src", "dst")]).distinct()
 
 
 def tainted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """All nodes connected, along edges in one direction, to a risk node; rounds end when no new node is met."""
-    def closure(src: str, dst: str) -> DataFrame:
-        links = cut_lineage(edges.select("session_id", F.col(src).alias("id"), F.col(dst).alias("next")).distinct())
-        front = seen = cut_lineage(nodes.filter("risk").select(*NODE).distinct())
-        while True:
-            front = cut_lineage(front.join(links, NODE).select("session_id", F.col("next").alias("id")).distinct().join(seen, NODE, "left_anti"))
-            if front.isEmpty():
-                break
-            seen = cut_lineage(seen.unionByName(front))
-        return seen
-
-    return closure("src", "dst").unionByName(closure("dst", "src")).distinct()
+    """All nodes connected, along edges in one direction, to a risk node; rounds end when no new node is met.
+
+    Both directions advance together. Only what a round has met is written, and no node is followed twice in a direction.
+    """
+    way = lambda src, dst, up: edges.select("session_id", F.col(src).alias("id"), F.lit(up).alias("up"), F.col(dst).alias("next"))
+    links = stored(way("dst", "src", True).unionByName(way("src", "dst", False)), "links")
+    keys = [*NODE, "up"]
+    front = stored(nodes.filter("risk").select(*NODE).distinct().withColumn("up", F.explode(F.array(F.lit(True), F.lit(False)))), "front")
+    met = [front]
+    while not front.isEmpty():
+        reached = shuffled(front, links, keys).select("session_id", F.col("next").alias("id"), "up").distinct()
+        front = stored(shuffled(reached, reduce(DataFrame.unionByName, met), keys, "left_anti"), "front")
+        met.append(front)
+        if len(met) > 8:  # a deep graph is not read from ever more folders
+            met = [stored(reduce(DataFrame.unionByName, met), "met")]
+    return reduce(DataFrame.unionByName, met).select(*NODE).distinct()
 
 
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
