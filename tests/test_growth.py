@@ -26,6 +26,20 @@ def test_only_suspect_strings_change_and_keep_their_places(spark):
     assert [(h["type"], h["path"]) for h in out["hits"]] == [("npm-token", "tool_input.b[1]"), ("assigned-secret", "tool_input.b[1]")]
 
 
+def test_payloads_are_read_once_and_secrets_behind_escapes_are_found(spark, monkeypatch):
+    secrets = ["sk-ant-" + "a1" * 12, "password=hunter22", "npm_" + "b" * 36, "https://u:pw@h", "-u me:pass", "Authorization: Bearer abc", "Zx9" * 9, "plain"]
+    texts = [before + s + after for s in secrets for before in ("", "\n", '"', "\\", "\t", "é", "\u0001", "x ") for after in ("", '"', "\\", "\n")]
+    rows = spark.createDataFrame([(i, t, json.dumps({"tool_input": {"a": [1, [t]]}, "prompt": "ok"})) for i, t in enumerate(texts)], "i int, t string, v string")
+    with monkeypatch.context() as m:
+        # No pass over the payloads comes before the one that redacts them.
+        m.setattr("pyspark.sql.classic.dataframe.DataFrame.first", lambda _: 1 / 0)
+        made = redact_payloads(rows.withColumn("p", F.parse_json("v")), hits="h")
+    alone = redact_text(made, "t", path="tool_input.a[1][0]")
+    got = alone.select("raw", "redacted", "h", "hits").collect()
+    assert all(json.loads(r["raw"]) == {"prompt": "ok", "tool_input": {"a": [1, [r["redacted"]]]}} and r["h"] == r["hits"] for r in got)
+    assert sum(bool(r["h"]) for r in got) > len(texts) // 2
+
+
 def _git(spark):
     updates = spark.createDataFrame([(1, "a", 20.0, "commit"), (2, "a", 35.0, "force"), (3, "a", 36.0, "commit"), (4, "b", 15.0, "other"), (5, "a", 29.0, "reset")],
                                     "id long, repo string, at double, kind string")
